@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from prosegrid.llm import langid, mixing, near, packing, suffix
 from prosegrid.llm.queries import tokenizer_path, training_rows
 from prosegrid.llm.scratch import Scratch
+from prosegrid.session import ship
 
 #: A document goes if no language reaches this probability.
 LANGUAGE = 0.5
@@ -20,6 +21,7 @@ LANGUAGE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Naive Bayes over character n-grams; texts that are in no language it knows go."""
+    ship(spark)
     return langid.in_known_language(docs, langid.fit(training_rows(docs)), LANGUAGE)
 
 
@@ -40,6 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 1024; one row for each piece of a document."""
+    ship(spark)
     return packing.pack(docs, tokenizer_path()).withColumnRenamed("id", "doc_id").withColumn("ids_crc32", F.crc32("ids"))
 
 

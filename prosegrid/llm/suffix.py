@@ -338,8 +338,10 @@ def repeated_spans(
         .mapInArrow(_repeated(held), "kind int, h long, doc long, s int, first long")
     )
     scratch.drop(passages)
+    # A few rows for each task; written, so that the join knows its size beforehand and a common passage stays spread.
     across = found.where("kind = 2").groupBy("h").agg(F.min("doc").alias("low"), F.max("first").alias("high"))
-    cut = found.where("kind = 1").select("h", "doc", "s").join(across.where("low < high"), "h")
+    across = scratch.store(across.where("low < high"))
+    cut = found.where("kind = 1").select("h", "doc", "s").join(across, "h")
     ends = F.col("s") + F.lit(size)
     marks = marks.unionByName(found.where("kind = 0").select("doc", "s", ends.alias("e"), "first")).unionByName(
         cut.select("doc", "s", ends.alias("e"), F.col("low").alias("first"))
