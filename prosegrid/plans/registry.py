@@ -1,5 +1,151 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prosegrid.functions import constants as C
+from prosegrid.functions import tokens as T
+from prosegrid.operators import calibration, comparison, coverage, features
+from prosegrid.operators.segments import segment
+from prosegrid.plans.oracles import ORACLES  # noqa: F401
+from prosegrid.session import ship
+from prosegrid.sources import pages
+from prosegrid.streaming import limits
+
+
+def _docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def word_counts(spark, sf_dir):
+    t = F.col("text")
+    number = lambda p: T.count(t, p).cast("long")
+    return _docs(spark, sf_dir).select(
+        "doc_id", number(C.TOKEN).alias("tokens"), number(C.WORD).alias("words"), number(r"\S+").alias("pieces")
+    )
+
+
+def statistical_sentences(spark, sf_dir):
+    found = _docs(spark, sf_dir).select("doc_id", T.sentences(F.col("text")).alias("s"))
+    return found.select(
+        "doc_id",
+        F.size("s").cast("long").alias("sentences"),
+        F.aggregate("s", F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("chars"),
+    )
+
+
+def window_ranges(spark, sf_dir):
+    found = features.statistical_windows(_docs(spark, sf_dir))
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"))
+
+
+def statistical_features(spark, sf_dir):
+    found = features.with_features(features.statistical_windows(_docs(spark, sf_dir)))
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), *(F.round(n, 6).alias(n) for n in features.NAMES))
+
+
+def window_likelihood(spark, sf_dir):
+    found = features.with_likelihood(features.with_features(features.statistical_windows(_docs(spark, sf_dir))))
+    return found.select(
+        "doc_id", F.col("start").cast("long").alias("start"), F.round("logit", 6).alias("logit"), F.round("probability", 6).alias("probability")
+    )
+
+
+def writing_characteristics(spark, sf_dir):
+    found = features.characteristics(_docs(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.round("long_word_ratio", 6).alias("long_word_ratio"), F.round("citation_sentence_ratio", 6).alias("citation_sentence_ratio")
+    )
+
+
+def fnv_split(spark, sf_dir):
+    bucket = calibration.fnv_bucket(F.concat(F.lit("essay:"), F.col("doc_id").cast("string")))
+    return _docs(spark, sf_dir).select("doc_id", bucket.alias("bucket")).withColumn("split", calibration.split_of(F.col("bucket")))
+
+
+def line_assessment(spark, sf_dir):
+    found = segment(_docs(spark, sf_dir)).select("doc_id", F.posexplode("lines").alias("line_no", "l"))
+    return found.select(
+        "doc_id",
+        F.col("line_no").cast("long").alias("line_no"),
+        F.col("l.start").cast("long").alias("start"),
+        F.col("l.end").cast("long").alias("stop"),
+        F.coalesce("l.reason", F.lit("prose")).alias("reason"),
+    )
+
+
+def sentence_split(spark, sf_dir):
+    found = segment(_docs(spark, sf_dir)).select("doc_id", F.posexplode("sentences").alias("sentence_no", "s"))
+    return found.select("doc_id", "sentence_no", "s.start", F.col("s.end").alias("stop"), "s.words", F.coalesce("s.reason", F.lit("prose")).alias("reason"))
+
+
+def sentence_scores(spark, sf_dir):
+    _, scored = coverage.score_sentences(segment(_docs(spark, sf_dir)))
+    return scored.select("doc_id", "i", "start", F.col("end").alias("stop"), "words", F.round("probability", 6).alias("probability"), "detected")
+
+
+def coverage_status(spark, sf_dir):
+    return coverage.coverage(_docs(spark, sf_dir))
+
+
+def quantile_floor(spark, sf_dir):
+    return calibration.floor_quantiles(_docs(spark, sf_dir), "source", "n_chars", (0.5, 0.9, 0.995))
+
+
+def roc_auc(spark, sf_dir):
+    scored = window_likelihood(spark, sf_dir).join(_docs(spark, sf_dir, "labels"), "doc_id")
+    return calibration.roc_auc(scored, "quality", "probability")
+
+
+def class_weights(spark, sf_dir):
+    labelled = window_ranges(spark, sf_dir).join(_docs(spark, sf_dir, "labels"), "doc_id")
+    found = calibration.class_weights(labelled, "quality")
+    return found.select("doc_id", "quality", F.round("weight", 9).alias("weight"))
+
+
+def changed_tokens(spark, sf_dir):
+    pairs = comparison.next_versions(_docs(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    return comparison.changed_tokens(pairs, ["conv_id", "turn"])
+
+
+def boundary_artifacts(spark, sf_dir):
+    return pages.repeated_artifacts(pages.lines_of_pages(_docs(spark, sf_dir), "source", "doc_id", "text"))
+
+
+def rate_limiter(spark, sf_dir):
+    found = limits.rate_limited(_docs(spark, sf_dir, "events"), "user_id", "ts", "event_id")
+    return found.select(F.col("key").alias("event_id"), "accepted")
+
+
+def ttl_latest(spark, sf_dir):
+    events = _docs(spark, sf_dir, "events")
+    now = events.agg(F.max("ts")).first()[0]
+    return limits.latest_unexpired(events, "user_id", "ts", "event_id", now).select(F.col("owner").alias("user_id"), F.col("key").alias("event_id"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        word_counts,
+        statistical_sentences,
+        window_ranges,
+        statistical_features,
+        window_likelihood,
+        writing_characteristics,
+        fnv_split,
+        line_assessment,
+        sentence_split,
+        sentence_scores,
+        coverage_status,
+        quantile_floor,
+        roc_auc,
+        class_weights,
+        changed_tokens,
+        boundary_artifacts,
+        rate_limiter,
+        ttl_latest,
+    )
+}
 FLAGSHIP = "coverage_status"
