@@ -19,6 +19,7 @@ entries are cut into blocks, and the pairs of blocks are done by other tasks.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -100,18 +101,20 @@ def spanning_links(entries: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.n
 
     Every entry that is reached leaves the rest, so a tight group costs one
     pass; only links that hold (``max_bits`` or fewer differing bits) are used.
+    Entries are sorted and the least go first: under all the keys that a group
+    shares its members then have the same few parents.
     """
     rest, children, parents = entries, [], []
     while len(rest) > 1:
-        stack, rest = [rest[0]], rest[1:]
-        while stack and len(rest):
-            x = stack.pop()
+        queue, rest = deque([rest[0]]), rest[1:]
+        while queue and len(rest):
+            x = queue.popleft()
             near = np.bitwise_count(rest ^ x) <= max_bits
             if near.any():
                 hit, rest = rest[near], rest[~near]
                 children.append(hit)
                 parents.append(np.full(len(hit), x, np.uint64))
-                stack.extend(hit)
+                queue.extend(hit)
     if not children:
         return entries[:0], entries[:0]
     return np.concatenate(children), np.concatenate(parents)
