@@ -8,7 +8,8 @@ word hardly moves: of eight bytes at least three have to be equal and at most
 twelve bits differ.  A sketch of 256 minima of the shingle hashes (one
 permutation, one bin each) estimates each candidate's similarity with a
 standard error of 0.025 at 0.8.  Estimates more than four errors off decide;
-for all nearer ones the sets of shingles themselves are compared.
+for the nearer ones the sets of shingles themselves are compared: first each
+document's best pair, then every pair whose ends are not joined by then.
 
 Exact copies are one entry throughout.  Links are transitive; of each component
 the document with the smallest id stays.
@@ -164,16 +165,26 @@ def near_copies(
     judged = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_estimate, "a long, b long, j double")
     judged = scratch.store(judged.where(F.col("j") >= least - MARGIN))
     sure = judged.where(F.col("j") > least + MARGIN).select("a", "b")
-    open_ = judged.where(F.col("j") <= least + MARGIN).select("a", "b")
+    open_ = judged.where(F.col("j") <= least + MARGIN)
     ids = open_.select(F.col("a").alias("id")).unionByName(open_.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
     sets = texts.where("t is not null").join(ids, "id", "left_semi").mapInArrow(_shingle_sets(width), "id long, set binary")
     sets = scratch.store(sets.dropDuplicates(["id"]))
-    x = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    checked = open_.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_compare(least), "a long, b long")
-    good = sure.unionByName(checked)
-    joined = connected_components(good.unionByName(copies), scratch)
+
+    def hold(some: DataFrame) -> DataFrame:
+        x = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
+        y = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+        return some.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_compare(least), "a long, b long")
+
+    ends = open_.select(F.explode(F.array("a", "b")).alias("id"), F.struct("j", "a", "b").alias("e"))
+    best = scratch.store(ends.groupBy("id").agg(F.max("e").alias("e")).select("e.a", "e.b").distinct())
+    joined = connected_components(sure.unionByName(hold(best)).unionByName(copies), scratch)
+    ra, rb = (joined.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b"))
+    rest = open_.join(best, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left")
+    rest = scratch.store(rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+    if not rest.isEmpty():
+        stars = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        joined = connected_components(stars.unionByName(hold(rest)), scratch)
     return joined.where("node <> root").select(F.col("node").alias("id"), F.col("root").alias("keeper"))
 
 

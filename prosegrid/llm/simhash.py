@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prosegrid.llm.blocks import mix
 from prosegrid.llm.components import connected_components
 from prosegrid.llm.scratch import Scratch
 
@@ -120,6 +121,34 @@ def spanning_links(entries: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.n
     return np.concatenate(children), np.concatenate(parents)
 
 
+def _nested_forest(entries: np.ndarray, radii: tuple[int, ...], salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """One spanning forest of the links within the largest radius that prefers links within the smaller ones.
+
+    Entries are walked in an order of the key's own (``salt``), so under each
+    key that a group shares its members have other parents.
+    """
+    entries = entries[np.argsort(mix(entries ^ np.uint64(salt)), kind="stable")]
+    place = {x: i for i, x in enumerate(entries.tolist())}
+    top, a, b = list(range(len(entries))), [], []
+
+    def find(i: int) -> int:
+        while top[i] != i:
+            top[i] = i = top[top[i]]
+        return i
+
+    for radius in radii:
+        if len(a) == len(entries) - 1:
+            break
+        x, y = spanning_links(entries, radius)
+        for u, v in zip(x.tolist(), y.tolist()):
+            i, j = find(place[u]), find(place[v])
+            if i != j:
+                top[i] = j
+                a.append(u)
+                b.append(v)
+    return np.array(a, np.uint64), np.array(b, np.uint64)
+
+
 def _first_key(masks: list[int], matches: int) -> dict[int, int]:
     """For every mask of equal bytes, the first key's mask that it covers."""
     first = {}
@@ -158,10 +187,10 @@ def _links_of_keys(masks: list[int], matches: int, max_bits: int, block_size: in
                 a.append(fp[i[own]])
                 b.append(fp[i[own] + d])
         for r in np.flatnonzero(size > small_size):
-            for radius in radii:
-                x, y = spanning_links(fp[lo[r] : lo[r] + size[r]], radius)
-                a.append(x)
-                b.append(y)
+            group = fp[lo[r] : lo[r] + size[r]]
+            x, y = spanning_links(group, max_bits) if len(radii) == 1 else _nested_forest(group, radii, masks[c[lo[r]]])
+            a.append(x)
+            b.append(y)
         none = fp[:0]
         return np.concatenate([none, *a]), np.concatenate([none, *b])
 
@@ -237,8 +266,8 @@ def links(
     With the default ``matches`` (``8 - max_bits``, at most 7 bits) the links
     connect exactly the fingerprints that chains of such pairs connect.  A
     larger number of ``matches`` than that finds part of them, faster.  Keys with
-    many entries give one spanning forest for each of ``radii``, by default of
-    ``max_bits`` only; smaller radii add links between the nearest.
+    many entries give one spanning forest; with several ``radii`` (ascending, the
+    last one ``max_bits``) it prefers the nearest, and each key has its own.
     """
     matches = 8 - max_bits if matches is None else matches
     if not 1 <= matches <= 8:
