@@ -148,22 +148,19 @@ def near_copies(
     copies = copies.where("a <> b")
     firsts = rows.join(same.select(F.col("first").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     firsts = scratch.store(firsts.select("id", "fa", "fb", "sketch"))
-    pairs = None
+    found = None
     for name in ("fa", "fb"):
         each = scratch.store(firsts.groupBy(F.col(name).alias("fp")).agg(F.min("id").alias("first")))
-        found = links(each.select("fp"), scratch, max_bits=MAX_BITS, matches=MATCHES, radii=(3, 7, MAX_BITS))
-        a = each.select(F.col("fp").alias("a"), F.col("first").alias("x"))
-        b = each.select(F.col("fp").alias("b"), F.col("first").alias("y"))
-        across = found.distinct().join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        equal = firsts.join(each, F.col(name) == F.col("fp")).select(F.col("id").alias("a"), F.col("first").alias("b"))
-        both = across.unionByName(equal)
-        pairs = both if pairs is None else pairs.unionByName(both)
-    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = scratch.store(pairs)
-    x = firsts.select(F.col("id").alias("a"), F.col("sketch").alias("x"))
-    y = firsts.select(F.col("id").alias("b"), F.col("sketch").alias("y"))
-    judged = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_estimate, "a long, b long, j double")
-    judged = scratch.store(judged.where(F.col("j") >= least - MARGIN))
+        near = links(each.select("fp"), scratch, max_bits=MAX_BITS, matches=MATCHES, radii=(3, 7, MAX_BITS)).distinct()
+        heads = each.join(firsts.select(F.col("id").alias("first"), "sketch"), "first")
+        a = heads.select(F.col("fp").alias("a"), F.col("first").alias("i"), F.col("sketch").alias("x"))
+        b = heads.select(F.col("fp").alias("b"), F.col("first").alias("j"), F.col("sketch").alias("y"))
+        across = near.join(a, "a").join(b, "b").select("i", "j", "x", "y")
+        equal = firsts.select(F.col(name).alias("b"), F.col("id").alias("i"), F.col("sketch").alias("x")).join(b, "b")
+        both = across.unionByName(equal.where("i <> j").select("i", "j", "x", "y"))
+        found = both if found is None else found.unionByName(both)
+    judged = found.mapInArrow(_estimate, "a long, b long, j double").where(F.col("j") >= least - MARGIN)
+    judged = scratch.store(judged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "j").distinct())
     sure = judged.where(F.col("j") > least + MARGIN).select("a", "b")
     open_ = judged.where(F.col("j") <= least + MARGIN)
     ids = open_.select(F.col("a").alias("id")).unionByName(open_.select(F.col("b").alias("id"))).distinct()

@@ -188,7 +188,7 @@ def _links_of_keys(masks: list[int], matches: int, max_bits: int, block_size: in
                 b.append(fp[i[own] + d])
         for r in np.flatnonzero(size > small_size):
             group = fp[lo[r] : lo[r] + size[r]]
-            x, y = spanning_links(group, max_bits) if len(radii) == 1 else _nested_forest(group, radii, masks[c[lo[r]]])
+            x, y = spanning_links(group, max_bits) if len(radii) == 1 else _nested_forest(group, radii, int(c[lo[r]]))
             a.append(x)
             b.append(y)
         none = fp[:0]
