@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from prosegrid.functions import constants as C
+from prosegrid.functions import phrases as P
 
 
 def _q(pattern: str) -> str:
@@ -212,3 +213,73 @@ ORACLES = {
         SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY user_id)
       SELECT user_id, event_id FROM last WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 8 HOUR""",
 }
+
+
+def _signals() -> str:
+    """CTEs up to ``sig(doc_id, i, words, signal, impact, marks)``."""
+    find = lambda p, of="t", flag="(?i)": f"regexp_extract_all({of}, {_q(flag + p)})"
+    lead = _q("(?i)" + P.TRANSITION)
+    stock = "list_distinct(list_transform(flatten([" + ", ".join(find(p) for p in P.PHRASES) + "]), lambda x: lower(x)))"
+    values = {
+        "stock-phrases": ("k >= 1", "least(42, 32 + 6 * (k - 1))", "k"),
+        "repetitive-openings": ("opened >= 2", "least(20, 14 + 2 * (opened - 2))", "1"),
+        "repeated-transitions": ("turned >= 2", "16", "1"),
+        "uniform-sentence-length": ("n >= 4 AND mean >= 6 AND cv <= 0.22", "CASE WHEN cv <= 0.1 THEN 14 WHEN cv <= 0.17 THEN 11 ELSE 8 END", "1"),
+        "abstract-language": ("abs >= 2 AND abs / words::DOUBLE >= 0.1::DOUBLE", "least(22, 10 + floor(abs / words::DOUBLE * 45 + 0.5))", "abs"),
+        "nominalized-language": ("nom >= 2 AND nom / words::DOUBLE >= 0.08::DOUBLE", "least(20, 8 + floor(nom / words::DOUBLE * 50 + 0.5))", "nom"),
+        "low-specificity": ("words >= 9 AND abs / words::DOUBLE >= 0.1::DOUBLE AND NOT concrete", "10", "1"),
+    }
+    each = " UNION ALL ".join(
+        f"SELECT doc_id, i, '{name}' AS signal, CAST({impact} AS BIGINT) AS impact, CAST({marks} AS BIGINT) AS marks FROM framed WHERE {test}"
+        for name, (test, impact, marks) in values.items()
+    )
+    return f"""{SENTENCES},
+    one AS (SELECT doc_id, unnest(s) AS t, generate_subscripts(s, 1) - 1 AS i FROM sent),
+    draft AS (
+      SELECT doc_id, i, t, regexp_extract_all(t, {_q(C.TOKEN)}) AS w, nullif(lower(regexp_extract(t, {lead}, 1)), '') AS turn,
+        regexp_extract_all(regexp_replace(t, {lead}, ''), {_q(C.TOKEN)})[1:3] AS o, len({stock}) AS k FROM one),
+    facts AS (
+      SELECT *, len(w) AS words, CASE WHEN len(o) = 3 THEN lower(array_to_string(o, ' ')) END AS opening,
+        len(list_distinct(list_filter(list_transform(w, lambda x: lower(x)), lambda x: x IN {_words(P.ABSTRACT)}))) AS abs,
+        len(list_distinct(list_filter(list_transform(w, lambda x: lower(x)), lambda x: length(x) >= 7 AND regexp_matches(x, {_q(P.NOMINAL)})))) AS nom,
+        regexp_matches(t, {_q(P.CONCRETE)}) OR len(list_filter(w[2:], lambda x: regexp_matches(x, '^\\p{{Lu}}\\p{{Ll}}{{2,}}$'))) > 0 AS concrete
+      FROM draft),
+    near AS (
+      SELECT *, list(words) OVER f AS lens, list(opening) OVER f AS openings, list(turn) OVER f AS turns
+      FROM facts WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+    sized AS (SELECT *, len(lens) AS n, list_sum(lens) / len(lens)::DOUBLE AS mean FROM near),
+    framed AS (
+      SELECT *, CASE WHEN mean = 0 THEN 0 ELSE sqrt(list_sum(list_transform(lens, lambda x: (x - mean) * (x - mean))) / n) / mean END AS cv,
+        len(list_filter(openings, lambda x: x = opening)) AS opened, len(list_filter(turns, lambda x: x = turn)) AS turned FROM sized),
+    sig AS ({each})"""
+
+
+ORACLES |= {
+    "sentence_signals": f"WITH {_signals()} SELECT doc_id, CAST(i AS BIGINT) AS i, signal, impact FROM sig",
+    "pattern_intensity": f"""WITH {_signals()},
+      total AS (SELECT doc_id, i, sum(impact) AS impact FROM sig GROUP BY ALL),
+      scored AS (
+        SELECT doc_id, greatest(1, words) AS w, least(100, CASE WHEN words >= 4 THEN 8 ELSE 4 END + coalesce(impact, 0)) AS p
+        FROM facts LEFT JOIN total USING (doc_id, i))
+      SELECT doc_id, CAST(floor(sum(p * w)::DOUBLE / sum(w)::DOUBLE + 0.5) AS BIGINT) AS intensity FROM scored GROUP BY doc_id""",
+    "top_signals": f"""WITH {_signals()},
+      per AS (
+        SELECT doc_id, signal, count(DISTINCT i) AS affected, CAST(sum(impact) AS BIGINT) AS impact FROM sig GROUP BY ALL)
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY impact DESC, affected DESC, signal) AS rank, signal, affected, impact
+      FROM per QUALIFY rank <= 5""",
+    "protected_diff": "WITH pairs AS ("
+    "SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations), each AS ("
+    + " UNION ALL ".join(
+        f"SELECT conv_id, turn, '{kind}' AS kind, lower(unnest(regexp_extract_all(coalesce({c}, ''), {_q(('(?i)' if fold else '') + p)}))) AS value, "
+        f"{sign} AS s FROM pairs WHERE b IS NOT NULL"
+        for kind, p, fold in (
+            ("citation-or-number", P.PROTECTED, False),
+            ("quotation", P.QUOTATION, False),
+            ("name", P.NAME, False),
+            ("qualifier", P.QUALIFIER, True),
+        )
+        for c, sign in (("a", 1), ("b", -1))
+    )
+    + ") SELECT conv_id, turn, kind, value, CASE WHEN sum(s) > 0 THEN 'removed' ELSE 'added' END AS change, "
+    "CAST(abs(sum(s)) AS BIGINT) AS n FROM each GROUP BY ALL HAVING sum(s) <> 0",
+}

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prosegrid.functions import constants as C
 from prosegrid.functions import tokens as T
-from prosegrid.operators import calibration, comparison, coverage, features
+from prosegrid.operators import calibration, comparison, coverage, features, revision, signals
 from prosegrid.operators.segments import segment
 from prosegrid.plans.oracles import ORACLES  # noqa: F401
 from prosegrid.session import ship
@@ -125,6 +125,48 @@ def ttl_latest(spark, sf_dir):
     return limits.latest_unexpired(events, "user_id", "ts", "event_id", now).select(F.col("owner").alias("user_id"), F.col("key").alias("event_id"))
 
 
+def _sentences(spark, sf_dir):
+    """Sentences of the raw texts, numbered from 0."""
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "text"))
+
+
+def sentence_signals(spark, sf_dir):
+    found = signals.with_signals(_sentences(spark, sf_dir)).select("doc_id", F.col("i").cast("long").alias("i"), F.explode("signals").alias("s"))
+    return found.select("doc_id", "i", F.col("s.id").alias("signal"), F.col("s.impact").alias("impact"))
+
+
+def pattern_intensity(spark, sf_dir):
+    return signals.pattern_intensity(signals.with_signals(_sentences(spark, sf_dir))).select("doc_id", F.col("intensity").cast("long").alias("intensity"))
+
+
+def top_signals(spark, sf_dir):
+    top = signals.top_signals(signals.with_signals(_sentences(spark, sf_dir)))
+    return top.select("doc_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("signal"), "affected", "impact")
+
+
+def flagged_passages(spark, sf_dir):
+    segments = segment(_docs(spark, sf_dir))
+    _, scored = coverage.score_sentences(segments)
+    each = segments.join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id").select("doc_id", "text", F.posexplode("sentences").alias("i", "s"))
+    before = F.lag("s.end").over(Window.partitionBy("doc_id").orderBy("i"))
+    each = each.select("doc_id", "text", "i", F.col("s.start").alias("start"), before.alias("before"))
+    gap = F.expr("substring(text, before + 1, start - before)")
+    each = each.select("doc_id", "i", "start", gap.rlike(r"\n[\t ]*\n").alias("blank_before"))
+    hit = scored.drop("i").withColumn("score", signals.clamp_score(F.col("probability") * 100)).join(each, ["doc_id", "start"])
+    return signals.passages(hit)
+
+
+def revise_text(spark, sf_dir):
+    scored = signals.with_signals(_sentences(spark, sf_dir))
+    found = scored.withColumn("stock", F.exists("signals", lambda s: s["id"] == "stock-phrases"))
+    return revision.revise(found, "comprehensive").select("doc_id", "i", "revised", "rules")
+
+
+def protected_diff(spark, sf_dir):
+    pairs = comparison.next_versions(_docs(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    return revision.protected_diff(pairs, ["conv_id", "turn"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -146,6 +188,12 @@ QUERIES = {
         boundary_artifacts,
         rate_limiter,
         ttl_latest,
+        sentence_signals,
+        pattern_intensity,
+        top_signals,
+        flagged_passages,
+        revise_text,
+        protected_diff,
     )
 }
 FLAGSHIP = "coverage_status"
