@@ -8,6 +8,9 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows in an Arrow batch where the session sets no number: whole texts of some kilobytes each stay within megabytes.
+BATCH_ROWS = 2048
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 
 
@@ -18,6 +21,8 @@ def ship(spark: SparkSession) -> SparkSession:
     importable there whatever the worker's folder and path are.
     """
     sc = spark.sparkContext
+    if not sc.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if sc.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parent
         target = Path(tempfile.mkdtemp(prefix="prosegrid-code-")) / "prosegrid.zip"
