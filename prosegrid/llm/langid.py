@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.blocks import code_points, text_blocks
+from prosegrid.llm.blocks import code_points, lean, text_blocks
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -54,6 +54,7 @@ def _grams(points: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndar
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from all rows that have a text and a label; nothing else of them is read."""
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         rows: dict[str, int] = {}
@@ -134,6 +135,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: dict[s
     plain = docs.select(*(c.alias(f"k{i}") for i, c in enumerate(keep.values())), F.col(text_col).cast("binary").alias("t"))
     shared, kept = docs.sparkSession.sparkContext.broadcast(model), len(keep)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, p = scores(shared.value, batch.column(kept))
@@ -152,6 +154,7 @@ def in_known_language(docs: DataFrame, model: Model, least: float = 0.5, text_co
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, p = scores(shared.value, batch.column(at).cast(pa.binary()))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prosegrid.llm.blocks import lean
 from prosegrid.llm.scratch import Scratch
 
 #: Documents of a source in one block of the first flight, on average.
@@ -132,6 +133,7 @@ def _fly(names: list[str], last: bool):
     group_at = [names.index("place")] + ([] if last else [names.index("block")])
     size_at, p_at, key_at = (names.index(n) for n in ("size", "p", "key"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fly, group, schema = Flight(), None, None
 

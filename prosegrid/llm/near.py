@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.blocks import Spans, Words, mix, text_blocks
+from prosegrid.llm.blocks import Spans, Words, lean, mix, text_blocks
 from prosegrid.llm.components import connected_components
 from prosegrid.llm.scratch import Scratch
 from prosegrid.llm.simhash import fold, links
@@ -55,6 +55,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _describe(width: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in text_blocks(batch.column(1)):
@@ -84,6 +85,7 @@ def _describe(width: int):
     return run
 
 
+@lean
 def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -94,6 +96,7 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shingle_sets(width: int):
     """``(id, text)`` -> ``(id, sorted distinct shingle hashes, 32 bits each)``."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in text_blocks(batch.column(1)):
@@ -109,6 +112,7 @@ def _shingle_sets(width: int):
 
 
 def _compare(least: float):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.blocks import code_points, mix, powers, text_blocks
+from prosegrid.llm.blocks import code_points, lean, mix, powers, text_blocks
 
 CAPACITY = 1024
 SEGMENTS = 256
@@ -317,6 +317,7 @@ def pack(
     """
     names = ["id", "start", "length", "ids", "doc_tokens", "loss_tokens", "sequence_id", "offset"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer, number = encoder(tokenizer), Packer(capacity, segments, loss), TaskContext.get().partitionId() << 40
         rows: list[tuple] = []

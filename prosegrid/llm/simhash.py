@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.blocks import mix
+from prosegrid.llm.blocks import lean, mix
 from prosegrid.llm.components import connected_components
 from prosegrid.llm.scratch import Scratch
 
@@ -72,6 +72,7 @@ def fold(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """``(id, fp)``: the SimHash of every whole text; null counts as empty."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
@@ -213,6 +214,7 @@ def _links_of_keys(masks: list[int], matches: int, max_bits: int, block_size: in
             ["a", "b", "c", "block"],
         )
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c0, f0, block = np.empty(0, np.int32), np.empty(0, np.uint64), 0
         for batch in batches:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.blocks import Spans, Words, text_blocks
+from prosegrid.llm.blocks import Spans, Words, lean, text_blocks
 from prosegrid.llm.scratch import Scratch
 
 RUN, WINDOW = 25, 26
@@ -70,6 +70,7 @@ class _Block:
 def _suffixes(run: int, window: int) -> Callable:
     size = run + window - 1
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -177,6 +178,7 @@ def _neighbours(window: int, size: int, held: int) -> Callable:
             ["doc", "s", "e", "first"],
         )
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, cut in _groups(batches, held):
             out = judge(cols, cut)
@@ -189,6 +191,7 @@ def _neighbours(window: int, size: int, held: int) -> Callable:
 def _passages(run: int, window: int) -> Callable:
     """``(doc, text, places)`` -> ``(h, doc, s)``: the passages around these suffixes."""
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -223,6 +226,7 @@ def _repeated(held: int) -> Callable:
             ["kind", "h", "doc", "s", "first"],
         )
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (h, doc, s), cut in _groups(batches, held):
             lo = _starts(h)
@@ -248,6 +252,7 @@ def _union(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[lo], np.append(reach[lo[1:] - 1], reach[-1])
 
 
+@lean
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks sorted by document and start -> spans."""
 
@@ -380,6 +385,7 @@ def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", t
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     joined = plain.join(cuts, F.col(f"c{names.index(id_col)}") == F.col("doc"), "left").drop("doc")
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cuts = batch.column(len(names))
