@@ -283,3 +283,36 @@ ORACLES |= {
     + ") SELECT conv_id, turn, kind, value, CASE WHEN sum(s) > 0 THEN 'removed' ELSE 'added' END AS change, "
     "CAST(abs(sum(s)) AS BIGINT) AS n FROM each GROUP BY ALL HAVING sum(s) <> 0",
 }
+
+ORACLES |= {
+    "text_statistics": f"""WITH b AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        c AS (SELECT doc_id, {TRIM.format('t')} AS t, regexp_extract_all(lower(t), {_q(C.TOKEN)}) AS w FROM b)
+      SELECT doc_id, CAST(length(t) AS BIGINT) AS characters, CAST(len(w) AS BIGINT) AS words,
+        CAST(len(list_filter(regexp_split_to_array(t, '\\r?\\n\\s*\\r?\\n+'), lambda x: regexp_matches(x, '\\S'))) AS BIGINT) AS paragraphs,
+        CAST(CASE WHEN len(w) = 0 THEN 0 ELSE floor(len(list_distinct(w)) / len(w)::DOUBLE * 100 + 0.5) END AS BIGINT) AS unique_percent
+      FROM c""",
+    "report_excerpt": f"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '\\s+', ' ', 'g') AS t FROM documents),
+        d AS (SELECT doc_id, {TRIM.format('t')} AS t FROM c),
+        e AS (SELECT doc_id, t, left(t, 521) AS head, 521 - strpos(reverse(left(t, 521)), ' ') AS space FROM d)
+      SELECT doc_id, CASE WHEN length(t) <= 520 THEN t ELSE
+        {TRIM.format("left(head, CAST(CASE WHEN contains(head, ' ') AND space > 364 THEN space ELSE 520 END AS BIGINT))")} || '...' END AS excerpt
+      FROM e""",
+    "page_spans": f"""WITH p AS (SELECT conv_id, turn, {TRIM.format("coalesce(text, '')")} AS t FROM conversations),
+        q AS (SELECT *, string_agg(CASE WHEN t <> '' THEN t END, '\n\n') OVER (PARTITION BY conv_id ORDER BY turn, t
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far FROM p)
+      SELECT conv_id, turn, CAST(coalesce(length(so_far), 0) - length(t) AS BIGINT) AS start, CAST(coalesce(length(so_far), 0) AS BIGINT) AS stop,
+        CASE WHEN t = '' THEN 'image-only' WHEN len(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]')) < 24
+          OR len(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]+')) < 4 THEN 'sparse-text' ELSE 'readable-text' END AS quality
+      FROM q""",
+    "threshold_choice": f"""WITH {_LIKELIHOOD},
+        o AS (SELECT s.doc_id, s.probability AS p, l.quality FROM scored s JOIN labels l USING (doc_id)),
+        h AS (SELECT * FROM o WHERE quality = 1),
+        t AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
+        cand AS (SELECT DISTINCT c FROM (SELECT p AS c FROM o UNION ALL SELECT 0.5 UNION ALL SELECT 1.0) WHERE c >= 0.5),
+        point AS (SELECT doc_id, max(p) AS point FROM (
+          SELECT a.doc_id, a.p, count(*) AS over FROM (SELECT DISTINCT doc_id, p FROM h) a JOIN h b ON a.doc_id = b.doc_id AND b.p >= a.p GROUP BY ALL) JOIN t USING (doc_id)
+          WHERE over >= 0.2 * n GROUP BY doc_id),
+        r AS (SELECT c, (SELECT count(*) FROM point WHERE point >= c) AS reported, (SELECT count(*) FROM t) AS humans FROM cand)
+      SELECT c AS threshold, CAST(humans AS BIGINT) AS humans, CAST(reported AS BIGINT) AS reported FROM r
+      WHERE c = (SELECT coalesce(min(c) FILTER (reported <= 0.01 * humans), 1.0) FROM r)""",
+}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prosegrid.functions import constants as C
 from prosegrid.functions import tokens as T
-from prosegrid.operators import calibration, comparison, coverage, features, revision, signals
+from prosegrid.operators import calibration, comparison, coverage, documents, features, revision, signals
 from prosegrid.operators.segments import segment
 from prosegrid.plans.oracles import ORACLES  # noqa: F401
 from prosegrid.session import ship
@@ -167,6 +167,37 @@ def protected_diff(spark, sf_dir):
     return revision.protected_diff(pairs, ["conv_id", "turn"])
 
 
+def text_statistics(spark, sf_dir):
+    return documents.text_statistics(_docs(spark, sf_dir))
+
+
+def prose_statistics(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    segments = segment(docs)
+    _, scored = coverage.score_sentences(segments)
+    return documents.prose_statistics(docs, segments, scored)
+
+
+def report_excerpt(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", documents.excerpt(F.col("text")).alias("excerpt"))
+
+
+def highlighted_runs(spark, sf_dir):
+    found = flagged_passages(spark, sf_dir).select("doc_id", "start", "end", "band")
+    return documents.highlighted_runs(_docs(spark, sf_dir), found)
+
+
+def page_spans(spark, sf_dir):
+    turns = _docs(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("page"), "text")
+    return pages.spans(turns).select(F.col("book").alias("conv_id"), F.col("page").alias("turn"), "start", F.col("end").alias("stop"), "quality")
+
+
+def threshold_choice(spark, sf_dir):
+    scored = window_likelihood(spark, sf_dir).join(_docs(spark, sf_dir, "labels"), "doc_id")
+    scored = scored.select("doc_id", "probability", F.lit(1).alias("weight"), (F.col("quality") == 1).alias("human"))
+    return calibration.choose_threshold(scored, "probability", "weight", "human")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -194,6 +225,12 @@ QUERIES = {
         flagged_passages,
         revise_text,
         protected_diff,
+        text_statistics,
+        prose_statistics,
+        report_excerpt,
+        highlighted_runs,
+        page_spans,
+        threshold_choice,
     )
 }
 FLAGSHIP = "coverage_status"

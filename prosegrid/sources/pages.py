@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosegrid.functions import constants as C
@@ -10,6 +10,7 @@ from prosegrid.functions import tokens as T
 
 BAND = 0.12
 MOST_WORDS = 20
+LEAST_CHARACTERS, LEAST_WORDS = 24, 4
 
 
 def lines_of_pages(docs: DataFrame, book: str, page: str, text: str, height: float = 800.0) -> DataFrame:
@@ -38,3 +39,77 @@ def repeated_artifacts(lines: DataFrame, least: int = 2) -> DataFrame:
 def without_artifacts(lines: DataFrame, least: int = 2) -> DataFrame:
     """The lines without repeated headers and footers; the same text in the body stays."""
     return with_artifact_key(lines).join(repeated_artifacts(lines, least), ["book", "key"], "left_anti")
+
+
+def quality(text: Column, characters: int = LEAST_CHARACTERS, words: int = LEAST_WORDS) -> Column:
+    """``image-only`` without text, ``sparse-text`` with little of it, else ``readable-text``."""
+    little = (T.count(text, r"[\p{L}\p{N}]") < max(1, characters)) | (T.count(text, r"[\p{L}\p{N}]+") < max(1, words))
+    return F.when(F.coalesce(T.trimmed(text), F.lit("")) == "", "image-only").when(little, "sparse-text").otherwise("readable-text")
+
+
+def spans(pages: DataFrame) -> DataFrame:
+    """``(book, page, text)`` -> ``(book, page, start, end, quality)``: where trimmed pages lie in the book's text.
+
+    Pages are joined by a blank line; an empty one has an empty span where the text ended before it.
+    """
+    t = F.coalesce(T.trimmed(F.col("text")), F.lit(""))
+    own = Window.partitionBy("book").orderBy("page", "t").rowsBetween(Window.unboundedPreceding, -1)
+    df = pages.select("book", "page", t.alias("t")).withColumn("n", F.length("t").cast("long"))
+    df = df.withColumn("filled", (F.col("n") > 0).cast("long"))
+    df = df.withColumn("before", F.coalesce(F.sum("n").over(own), F.lit(0))).withColumn("pages", F.coalesce(F.sum("filled").over(own), F.lit(0)))
+    gaps = F.when(F.col("n") > 0, F.col("pages")).otherwise(F.greatest(F.col("pages") - 1, F.lit(0)))
+    df = df.withColumn("start", F.col("before") + 2 * gaps)
+    return df.select("book", "page", "start", (F.col("start") + F.col("n")).alias("end"), quality(F.col("t")).alias("quality"))
+
+
+def joined(pages: DataFrame) -> DataFrame:
+    """``(book, text)``: the text that ``spans`` refers to; its rows are a book's pages."""
+    t = F.coalesce(T.trimmed(F.col("text")), F.lit(""))
+    own = pages.select("book", F.struct("page", t.alias("t")).alias("p")).groupBy("book").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return own.select("book", F.array_join(F.filter(F.col("p.t"), lambda x: x != ""), "\n\n").alias("text"))
+
+
+def fragment(current: Column, following: Column) -> Column:
+    """Both, with a space between them unless punctuation or white space makes it needless."""
+    t = T.trimmed(following)
+    apart = ~current.rlike(r"[\s(\[{]\z") & ~t.rlike(r"^[,.;:!?)}\]]")
+    return F.when(t == "", current).when(current == "", t).otherwise(F.concat(current, F.when(apart, " ").otherwise(""), t))
+
+
+def reading_lines(items: DataFrame) -> DataFrame:
+    """``(book, page, seq, x, y, height, text, has_eol)`` -> ``(book, page, line_no, line, y)``.
+
+    Items are taken from top to bottom, and join the line above them if its
+    first item is within half the larger height (2 to 6 units).  If any item
+    that is not blank has no position, the page is read in order of ``seq``, with
+    breaks after items that end a line.
+    """
+    num = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
+    df = items.where(F.coalesce(T.trimmed(F.col("text")), F.lit("")) != "")
+    item = F.struct(
+        (-num("y")).alias("ny"), num("x").alias("x"), "seq", F.coalesce(F.abs(num("height")), F.lit(0.0)).alias("h"),
+        F.col("text").alias("t"), F.coalesce("has_eol", F.lit(False)).alias("eol"),
+    )
+    pages = df.select("book", "page", item.alias("i")).groupBy("book", "page").agg(F.array_sort(F.collect_list("i")).alias("s"))
+    kind = "array<struct<ny:double,h:double,s:array<struct<x:double,seq:bigint,t:string>>>>"
+
+    def place(lines: Column, i: Column) -> Column:
+        last = F.get(lines, F.size(lines) - 1)
+        reach = F.greatest(F.lit(2.0), F.least(F.lit(6.0), F.greatest(last["h"], i["h"]) * 0.5))
+        part = F.array(F.struct(i["x"].alias("x"), i["seq"].cast("long").alias("seq"), i["t"].alias("t")))
+        new = F.array(F.struct(i["ny"].alias("ny"), i["h"].alias("h"), part.alias("s")))
+        grown = F.array(F.struct(last["ny"].alias("ny"), F.greatest(last["h"], i["h"]).alias("h"), F.concat(last["s"], part).alias("s")))
+        near = (F.size(lines) > 0) & (F.abs(last["ny"] - i["ny"]) <= reach)
+        return F.when(near, F.concat(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), grown)).otherwise(F.concat(lines, new)).cast(kind)
+
+    def written(parts: Column) -> Column:
+        return F.aggregate(F.array_sort(parts), F.lit(""), lambda s, x: fragment(s, x["t"]))
+
+    placed = F.aggregate("s", F.array().cast(kind), place)
+    by_place = F.transform(placed, lambda g: F.struct(written(g["s"]).alias("line"), (-g["ny"]).alias("y")))
+    in_order = F.array_sort(F.transform("s", lambda i: F.struct(i["seq"].alias("seq"), i["t"].alias("t"), i["eol"].alias("eol"))))
+    whole = F.aggregate(in_order, F.lit(""), lambda s, x: F.concat(fragment(s, x["t"]), F.when(x["eol"], "\n").otherwise("")))
+    pieces = F.filter(F.transform(F.split(whole, r"\r?\n"), T.trimmed), lambda x: x != "")
+    by_order = F.transform(pieces, lambda x: F.struct(x.alias("line"), F.lit(None).cast("double").alias("y")))
+    lost = F.exists("s", lambda i: i["ny"].isNull() | i["x"].isNull())
+    return pages.select("book", "page", F.posexplode(F.when(lost, by_order).otherwise(by_place)).alias("line_no", "l")).select("book", "page", "line_no", "l.line", "l.y")
