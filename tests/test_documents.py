@@ -66,3 +66,13 @@ def test_train(spark):
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - 0.035 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     assert np.allclose([*got["coefficients"], got["intercept"]], theta)
+
+
+def test_prose_statistics(spark):
+    text = "One two two. HEAD. Four five six Two seven."
+    docs = spark.createDataFrame([(1, text), (2, "")], "doc_id int, text string")
+    rows = [(1, [(0, 12, 3, None), (13, 18, 1, "non-prose"), (19, 43, 5, None)]), (2, [])]
+    segments = spark.createDataFrame(rows, "doc_id int, sentences array<struct<start:int,end:int,words:int,reason:string>>")
+    scored = spark.createDataFrame([(1, 3, True), (1, 5, False)], "doc_id int, words int, detected boolean")
+    got = [tuple(r) for r in documents.prose_statistics(docs, segments, scored).orderBy("doc_id").collect()]
+    assert got == [(1, 3, 2, 8, 4.0, 25, 75, 1, 3), (2, 0, 0, 0, 0.0, 0, 0, 0, 0)]
