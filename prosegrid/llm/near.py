@@ -1,16 +1,24 @@
-"""Near copies of whole documents: SimHash finds candidates, shingles decide.
+"""Near copies of whole documents: SimHash links most of them, an exact join finds the rest.
 
 Two texts are near copies if the Jaccard similarity of their sets of five-word
 shingles is 0.8 or more.  A shingle SimHash of 64 bits differs in some ten bits
 at that similarity, more than a byte-position index can guarantee to find.  So
-candidates come from two SimHashes over the *set of words*, which a changed
-word hardly moves: of eight bytes at least three have to be equal and at most
-twelve bits differ.  A sketch of 256 minima of the shingle hashes (one
+a first step takes candidates from a SimHash over the *set of words*, which a
+changed word hardly moves: of eight bytes at least three have to be equal and
+at most twelve bits differ.  A sketch of 256 minima of the shingle hashes (one
 permutation, one bin each) estimates each candidate's similarity with a
 standard error of 0.025 at 0.8.  Estimates more than four errors off decide;
 for the nearer ones the sets of shingles themselves are compared: first each
 document's best pair, then every pair whose ends are not joined by then.
 
+That step only joins what is easily found.  The second is complete: put the
+shingles of every text in one order, the same for all.  Two sets of similarity
+0.8 share one of the first ``n - ceil(0.8 n) + 1`` of each (prefix filter).
+Documents that meet under such a shingle, are not joined yet and whose sizes
+and places leave room for 0.8 have their shingle sets compared.  Shingles that
+are common in a sample stand last in the order, so few documents meet under
+them; any order gives the same pairs.
+
 Exact copies are one entry throughout.  Links are transitive; of each component
 the document with the smallest id stays.
 """
@@ -35,6 +43,11 @@ EMPTY = 0xFFFF
 #: Estimates this far from the wanted similarity are not checked further.
 MARGIN = 0.12
 MATCHES, MAX_BITS = 3, 12
+#: One text in so many is read to learn which shingles are common: those in ``COMMON`` of them,
+#: or more of a large sample, so that the list stays short.  Only speed depends on it.
+SAMPLE, COMMON, LIST = 64, 3, 4096
+#: Pairs that are formed at a time.
+PAIRS = 1 << 18
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -64,10 +77,9 @@ def _describe(width: int):
                 grams = Spans(w.hashes)
                 full = grams(np.arange(max(0, n - width + 1)), np.arange(width, max(width, n + 1)))
                 words = mix(w.hashes)
-                fa, fb, sketches = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64), []
+                fa, sketches = np.zeros(b - a, np.uint64), []
                 for i, (lo, hi) in enumerate(zip(w.lo.tolist(), w.hi.tolist())):
-                    each = np.unique(words[lo:hi])
-                    fa[i], fb[i] = fold(each), fold(mix(each ^ np.uint64(0x5851F42D4C957F2D)))
+                    fa[i] = fold(np.unique(words[lo:hi]))
                     own = full[lo : hi - width + 1] if hi - lo >= width else grams(np.array([lo]), np.array([hi]))
                     sketches.append(sketch(own).tobytes() if hi > lo else None)
                 yield pa.RecordBatch.from_arrays(
@@ -76,10 +88,9 @@ def _describe(width: int):
                         batch.column(2).slice(a, b - a),
                         batch.column(3).slice(a, b - a),
                         pa.array(fa.view(np.int64)),
-                        pa.array(fb.view(np.int64)),
                         pa.array(sketches, pa.binary()),
                     ],
-                    ["id", "t1", "t2", "fa", "fb", "sketch"],
+                    ["id", "t1", "t2", "fa", "sketch"],
                 )
 
     return run
@@ -119,12 +130,121 @@ def _compare(least: float):
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= least * (len(x) + len(y) - both))
+                good.append(both + 1e-9 >= least * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
+def _own_shingles(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of every text with words: its row, and its distinct shingle hashes, sorted."""
+    for a, _, data, offsets in text_blocks(texts):
+        w = Words(_LOWER[data], offsets)
+        grams = Spans(w.hashes)
+        for i, (lo, hi) in enumerate(zip(w.lo.tolist(), w.hi.tolist())):
+            if hi > lo:
+                at = np.arange(lo, max(lo + 1, hi - width + 1))
+                yield a + i, np.unique(grams(at, np.minimum(at + width, hi)))
+
+
+def _all_shingles(width: int):
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, own in _own_shingles(batch.column(1), width):
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["h"])
+
+    return run
+
+
+def _prefixes(width: int, least: float, common):
+    """``(id, text)`` -> ``(h, id, n, at)``: the first shingles of each set, its size, and their places."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, number = common.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            h, size, row = [np.empty(0, np.uint64)], [], []
+            for i, own in _own_shingles(batch.column(1), width):
+                weight = np.zeros(len(own), np.int64)
+                if len(often):
+                    place = np.minimum(np.searchsorted(often, own), len(often) - 1)
+                    weight = np.where(often[place] == own, number[place], 0)
+                first = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1
+                h.append(own[np.lexsort((own, weight))[:first]])
+                size.append(len(own))
+                row.append(i)
+            number_of = np.array([len(x) for x in h[1:]], np.int64)
+            start = np.cumsum(number_of) - number_of
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(h).view(np.int64)),
+                    pa.array(np.repeat(ids[np.array(row, np.int64)], number_of)),
+                    pa.array(np.repeat(np.array(size, np.int32), number_of)),
+                    pa.array((np.arange(number_of.sum()) - np.repeat(start, number_of)).astype(np.int32)),
+                ],
+                ["h", "id", "n", "at"],
+            )
+
+    return run
+
+
+def _meetings(least: float):
+    """``(h, root, id, n, at)`` sorted by shingle and root -> pairs of different roots that can reach ``least``."""
+
+    def pairs(h, root, ids, n, at) -> Iterator[pa.RecordBatch]:
+        rows = np.arange(len(h))
+        key = np.flatnonzero(np.append(h[1:] != h[:-1], True)) + 1
+        own = np.flatnonzero(np.append((h[1:] != h[:-1]) | (root[1:] != root[:-1]), True)) + 1
+        end, begin = key[np.searchsorted(key, rows, "right")], own[np.searchsorted(own, rows, "right")]
+        bound = np.concatenate(([0], np.cumsum(end - begin)))
+        for lo in range(0, int(bound[-1]), PAIRS):
+            each = np.arange(lo, min(lo + PAIRS, int(bound[-1])))
+            x = np.searchsorted(bound, each, "right") - 1
+            y = begin[x] + each - bound[x]
+            both = np.minimum(n[x] - at[x], n[y] - at[y])  # at most, if this is the first that they share
+            good = both + 1e-9 >= least / (1 + least) * (n[x].astype(np.int64) + n[y])
+            x, y = x[good], y[good]
+            if len(x):
+                a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            last = int(np.argmax(now[0] == now[0][-1]))
+            if rest and (last or rest[-1][0][-1] != now[0][0]):
+                yield from pairs(*(np.concatenate(x) for x in zip(*rest, [c[:last] for c in now])))
+                rest = []
+            elif last:
+                yield from pairs(*(c[:last] for c in now))
+            rest.append([c[last:] for c in now])
+        if rest:
+            yield from pairs(*(np.concatenate(x) for x in zip(*rest)))
+
+    return run
+
+
+def _candidates(texts: DataFrame, number: int, joined: DataFrame, width: int, least: float) -> DataFrame:
+    """``texts(id, t, t1)``, each text once, and ``joined(node, root)`` -> every pair ``(a, b)`` not joined that can reach ``least``."""
+    sample = texts.where(F.pmod("t1", F.lit(SAMPLE)) == 0).select("id", "t").mapInArrow(_all_shingles(width), "h long")
+    common = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(COMMON, number // (SAMPLE * LIST)))
+    common = common.toArrow()
+    often, times = common.column("h").to_numpy().view(np.uint64), common.column("n").to_numpy()
+    order = np.argsort(often)
+    shared = texts.sparkSession.sparkContext.broadcast((often[order], times[order]))
+    roots = joined.where("node <> root").select(F.col("node").alias("id"), "root")
+    first = texts.select("id", "t").mapInArrow(_prefixes(width, least, shared), "h long, id long, n int, at int")
+    first = first.join(roots, "id", "left").select("h", F.coalesce("root", "id").alias("root"), "id", "n", "at")
+    met = first.repartition("h").sortWithinPartitions("h", "root").mapInArrow(_meetings(least), "a long, b long")
+    return met.distinct()
+
+
 def near_copies(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -144,38 +264,41 @@ def near_copies(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), t.alias("t"), F.xxhash64(t).alias("t1"), F.crc32(t).alias("t2"))
     rows = scratch.store(
         rows.where("id is not null and t is not null").mapInArrow(
-            _describe(width), "id long, t1 long, t2 long, fa long, fb long, sketch binary"
+            _describe(width), "id long, t1 long, t2 long, fa long, sketch binary"
         ).where("sketch is not null")
     )
     same = scratch.store(rows.groupBy("t1", "t2").agg(F.min("id").alias("first")))
     copies = rows.select("id", "t1", "t2").join(same, ["t1", "t2"]).select(F.col("id").alias("a"), F.col("first").alias("b"))
     copies = copies.where("a <> b")
     firsts = rows.join(same.select(F.col("first").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    firsts = scratch.store(firsts.select("id", "fa", "fb", "sketch"))
-    found = None
-    for name in ("fa", "fb"):
-        each = scratch.store(firsts.groupBy(F.col(name).alias("fp")).agg(F.min("id").alias("first")))
-        near = links(each.select("fp"), scratch, max_bits=MAX_BITS, matches=MATCHES, radii=(3, 7, MAX_BITS)).distinct()
-        heads = each.join(firsts.select(F.col("id").alias("first"), "sketch"), "first")
-        a = heads.select(F.col("fp").alias("a"), F.col("first").alias("i"), F.col("sketch").alias("x"))
-        b = heads.select(F.col("fp").alias("b"), F.col("first").alias("j"), F.col("sketch").alias("y"))
-        across = near.join(a, "a").join(b, "b").select("i", "j", "x", "y")
-        equal = firsts.select(F.col(name).alias("b"), F.col("id").alias("i"), F.col("sketch").alias("x")).join(b, "b")
-        both = across.unionByName(equal.where("i <> j").select("i", "j", "x", "y"))
-        found = both if found is None else found.unionByName(both)
+    firsts = scratch.store(firsts.select("id", "t1", "t2", "fa", "sketch"))
+    each = scratch.store(firsts.groupBy(F.col("fa").alias("fp")).agg(F.min("id").alias("first")))
+    near = links(each.select("fp"), scratch, max_bits=MAX_BITS, matches=MATCHES, radii=(3, 7, MAX_BITS)).distinct()
+    heads = each.join(firsts.select(F.col("id").alias("first"), "sketch"), "first")
+    a = heads.select(F.col("fp").alias("a"), F.col("first").alias("i"), F.col("sketch").alias("x"))
+    b = heads.select(F.col("fp").alias("b"), F.col("first").alias("j"), F.col("sketch").alias("y"))
+    across = near.join(a, "a").join(b, "b").select("i", "j", "x", "y")
+    equal = firsts.select(F.col("fa").alias("b"), F.col("id").alias("i"), F.col("sketch").alias("x")).join(b, "b")
+    found = across.unionByName(equal.where("i <> j").select("i", "j", "x", "y"))
     judged = found.mapInArrow(_estimate, "a long, b long, j double").where(F.col("j") >= least - MARGIN)
     judged = scratch.store(judged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "j").distinct())
     sure = judged.where(F.col("j") > least + MARGIN).select("a", "b")
     open_ = judged.where(F.col("j") <= least + MARGIN)
-    ids = open_.select(F.col("a").alias("id")).unionByName(open_.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    sets = texts.where("t is not null").join(ids, "id", "left_semi").mapInArrow(_shingle_sets(width), "id long, set binary")
-    sets = scratch.store(sets.dropDuplicates(["id"]))
+    texts = texts.where("id is not null and t is not null").select("id", "t", F.xxhash64("t").alias("t1"), F.crc32("t").alias("t2"))
 
     def hold(some: DataFrame) -> DataFrame:
+        """Of these pairs, written already, those whose sets of shingles are as similar as wanted."""
+        ids = some.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        ids = firsts.select("id", "t1", "t2").join(ids, "id", "left_semi")
+        own = texts.join(ids, ["id", "t1", "t2"], "left_semi").select("id", "t")
+        sets = scratch.store(own.mapInArrow(_shingle_sets(width), "id long, set binary").dropDuplicates(["id"]))
         x = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
         y = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-        return some.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_compare(least), "a long, b long")
+        good = some.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_compare(least), "a long, b long")
+        good = scratch.store(good)
+        scratch.drop(sets)
+        return good
 
     ends = open_.select(F.explode(F.array("a", "b")).alias("id"), F.struct("j", "a", "b").alias("e"))
     best = scratch.store(ends.groupBy("id").agg(F.max("e").alias("e")).select("e.a", "e.b").distinct())
@@ -186,6 +309,12 @@ def near_copies(
     if not rest.isEmpty():
         stars = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
         joined = connected_components(stars.unionByName(hold(rest)), scratch)
+    once = firsts.select("id", "t1", "t2")
+    whole = texts.join(once, ["id", "t1", "t2"], "left_semi").select("id", "t", "t1").dropDuplicates(["id"])
+    met = scratch.store(_candidates(whole, firsts.count(), joined, width, least))
+    if not met.isEmpty():
+        stars = joined.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        joined = connected_components(stars.unionByName(hold(met)), scratch)
     return joined.where("node <> root").select(F.col("node").alias("id"), F.col("root").alias("keeper"))
 
 

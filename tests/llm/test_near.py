@@ -41,6 +41,44 @@ def test_near_copies(spark):
     assert N.near_copies(df.limit(0)).count() == 0
 
 
+def found(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["id"]: r["keeper"] for r in N.near_copies(df).collect()}
+
+
+def test_every_appended_or_inserted_block_is_found(spark):
+    rng = np.random.default_rng(5)
+    texts, want = [], {}
+    for d in range(150):
+        base = [f"b{d}x{i}" for i in rng.permutation(int(rng.integers(60, 500)))]
+        new = [f"n{d}x{i}" for i in range((len(base) - 4) // 4)]  # similarity 0.8 or a little more
+        at = len(base) if d % 2 else 0
+        other = base[:at] + new + base[at:]
+        one, two = shingles(" ".join(base)), shingles(" ".join(other))
+        assert len(one & two) >= 0.8 * len(one | two)
+        want[len(texts) + 1] = len(texts)
+        over = base[:at] + new + [f"m{d}x{i}" for i in range(8)] + base[at:]
+        texts += [" ".join(base), " ".join(other)] + ([" ".join(over[::-1])] if d % 3 == 0 else [])
+    assert found(spark, texts) == want
+
+
+def test_common_shingles_and_pairs_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(N, "SAMPLE", 1)
+    monkeypatch.setattr(N, "PAIRS", 7)
+    rng = np.random.default_rng(7)
+    line = [f"c{i}" for i in range(12)]
+    texts = [" ".join([*line, *(f"t{d}x{i}" for i in rng.permutation(int(rng.integers(3, 30))))]) for d in range(60)]
+    texts += [" ".join([*t.split(), "z"]) for t in texts[::5]] + ["c0 C1 c2", "C0 c1 c2"]
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    assert found(spark, texts) == {i: r for i, r in enumerate(root) if i != r}
+
+
 def test_estimate():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2)
