@@ -62,6 +62,18 @@ def test_every_appended_or_inserted_block_is_found(spark):
     assert found(spark, texts) == want
 
 
+def test_near_copies_among_texts_of_one_vocabulary(spark):
+    rng = np.random.default_rng(6)
+    words, texts, want = np.array([f"w{i}" for i in range(120)]), [], {}
+    for d in range(60):
+        base = words[rng.permutation(120)]
+        texts.append(" ".join(base))
+        if d % 2:
+            want[len(texts)] = len(texts) - 1
+            texts.append(" ".join(np.concatenate((base[60:], base[:60]))))  # the same set of words, so the same fingerprint
+    assert found(spark, texts) == want
+
+
 def test_common_shingles_and_pairs_in_parts(spark, monkeypatch):
     monkeypatch.setattr(N, "SAMPLE", 1)
     monkeypatch.setattr(N, "PAIRS", 7)
