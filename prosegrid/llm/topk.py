@@ -175,8 +175,8 @@ def top_k(
     other.  No candidates or no queries: no rows.
     """
     scratch = Scratch(vectors.sparkSession, "topk")
-    rows = scratch.store(vectors.select("id", "v", F.lit(False).alias("asked")))
-    asked = scratch.store(queries.select("id", "v", F.lit(True).alias("asked")))
+    rows = scratch.store(vectors.select("id", "v").distinct().select("id", "v", F.lit(False).alias("asked")))
+    asked = scratch.store(queries.select("id", "v").distinct().select("id", "v", F.lit(True).alias("asked")))
     blocks = max(1, -(-rows.count() // data_block))
     parts = max(1, -(-asked.count() // query_block))
     block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
@@ -187,8 +187,7 @@ def top_k(
     found = cells.groupBy(F.size("v").alias("dim"), "b", "p").applyInArrow(_search(k), "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return (
-        found.distinct()
-        .withColumn("rank", F.row_number().over(order))
+        found.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "id", "score")
     )

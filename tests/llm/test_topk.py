@@ -38,6 +38,14 @@ def test_matches_brute_force(spark):
     assert run(spark, rows, data_block=128, query_block=8) == brute(rows)
 
 
+def test_repeated_rows_take_one_place(spark):
+    rows = [(i, [i / 64, 1.0]) for i in range(1, 41)]
+    rows += [(40, [40 / 64, 1.0])] * 7 + [(39, [39 / 64, 1.0])] * 2 + [(50, [1.0, 0.5])] * 3
+    assert run(spark, rows) == brute(rows) and len(brute(rows)) == 5
+    wide = [(i, [i * 1e5, 1e5]) for i in range(1, 9)] + [(8, [8e5, 1e5])] * 6 + [(50, [1e6, 1e5])] * 2
+    assert run(spark, wide) == brute(wide) and len(brute(wide)) == 5
+
+
 def test_wide_values_and_empty(spark):
     rows = [(0, [1e5, -2e5]), (1, [3e5, 4.0]), (50, [1e4, 1e6]), (3, [1.0, 2.0])]
     assert run(spark, rows) == brute(rows)
