@@ -17,12 +17,15 @@ from prosegrid.session import ship
 
 #: A document goes if no language reaches this probability.
 LANGUAGE = 0.5
+#: Nor if its n-grams are less likely than those of its language's texts by more standard deviations than this.
+UNLIKE = 6.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Naive Bayes over character n-grams; texts that are in no language it knows go."""
+    """Naive Bayes over character n-grams; texts that are in no language it knows, by their likelihood, go."""
     ship(spark)
-    return langid.in_known_language(docs, langid.fit(training_rows(docs)), LANGUAGE)
+    model = langid.fit(training_rows(docs))
+    return langid.in_known_language(docs, model, LANGUAGE, norms=langid.norms(training_rows(docs), model), most=UNLIKE)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

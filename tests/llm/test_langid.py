@@ -55,6 +55,22 @@ def test_undetermined_and_empty(spark):
     assert L.identify(df.limit(0), model, keep={"doc_id": df["doc_id"]}).count() == 0
 
 
+def test_texts_unlike_every_known_language_go(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(t.split()[: int(rng.integers(3, 31))]), x) for i, t, x in corpus() * 5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs)
+    norms = L.norms(docs, model)
+    noise = " ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 5)) for _ in range(30))
+    other = ["我们今天在北京的街上看到很多人在走路和买东西", "w szczebrzeszynie chrząszcz brzmi w trzcinie i szczebrzeszyn z tego słynie", noise]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000 + i, t) for i, t in enumerate(other)], "doc_id long, text string")
+    assert L.in_known_language(df, model).count() == len(rows) + 3  # the probability among the labels does not tell
+    kept = [r["doc_id"] for r in L.in_known_language(df, model, norms=norms).collect()]
+    assert sorted(kept) == sorted(i for i, _, _ in rows)
+    none = L.fit(df.selectExpr("text", "cast(null as string) as lang"))
+    assert L.in_known_language(df, none, norms=L.norms(docs, none)).count() == 0
+
+
 def test_blocks_of_texts_agree_with_single_texts():
     rng = np.random.default_rng(2)
     model = L.Model(["a", "b"], rng.integers(-1000, 0, (2, L.BUCKETS)).astype(np.int32), np.array([-5, -3]))
