@@ -26,6 +26,11 @@ RULES = (
 ROUNDS = 12
 MASS = 10**12
 DAMPING = 85
+#: What each kind spreads here, in whole units of decimal(38); a host that is reached has one unit at least.
+#: ``MASS`` and ``ROUNDS`` are those of the SQL, which cannot go on until ranks settle.
+UNITS = 10**28
+#: Ranks have settled when none changes by more than this part of it.
+SETTLED = 1e-6
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,17 +53,20 @@ def _by_rule(rules, host: Column, path: Column, value) -> Column:
     return out
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, rounds: int | None = None) -> DataFrame:
     """``seeds(kind, host, n)`` and ``edges(src, dst)``, each once -> ``(host, trust, distrust)``.
 
-    ``kind`` is ``t`` or ``d``; each kind spreads ``MASS`` over its seeds by
+    ``kind`` is ``t`` or ``d``; each kind spreads ``UNITS`` over its seeds by
     ``n``.  What a host without a link hands on is lost.  Hosts that neither
-    kind reaches are not in the result.
+    kind reaches are not in the result.  Rounds go on until one reaches no new
+    host and changes no rank by over ``SETTLED`` of it (damping sees to that),
+    or to a number of ``rounds`` if one is given.
     """
+    whole = lambda e: F.expr(f"cast(greatest(floor({e}), 1) as decimal(38,0))").alias("mass")
     total = seeds.groupBy("kind").agg(F.sum("n").cast("decimal(38,0)").alias("total"))
     start = scratch.store(
         seeds.join(F.broadcast(total), "kind").select(  # two rows
-            "kind", "host", F.expr(f"(cast(n as decimal(20,0)) * {MASS}) div total").alias("mass")
+            "kind", "host", whole(f"cast(cast(n as decimal(10,0)) * {UNITS} as decimal(38,0)) / total")
         )
     )
     steps = edges.select(F.lit("t").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to")).unionByName(
@@ -66,13 +74,21 @@ def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, rounds: int
     )
     degree = steps.groupBy("kind", "host").agg(F.count(F.lit(1)).alias("degree"))
     steps = scratch.store(steps.join(degree, ["kind", "host"]))
-    stay = start.select("kind", "host", F.expr(f"(mass * {100 - DAMPING}) div 100").alias("mass"))
+    stay = start.select("kind", "host", whole(f"mass * {100 - DAMPING} / 100"))
     now = start
-    for _ in range(0 if steps.isEmpty() else rounds):
+    done = steps.isEmpty() or rounds == 0
+    turn = 0
+    while not done:
         sent = now.join(steps, ["kind", "host"]).select(
-            "kind", F.col("to").alias("host"), F.expr(f"(mass * {DAMPING}) div (100 * degree)").alias("mass")
+            "kind", F.col("to").alias("host"), whole(f"mass * {DAMPING} / (100 * degree)")
         )
-        new = scratch.store(stay.unionByName(sent).groupBy("kind", "host").agg(F.sum("mass").alias("mass")))
+        new = scratch.store(stay.unionByName(sent).groupBy("kind", "host").agg(F.sum("mass").cast("decimal(38,0)").alias("mass")))
+        was = now.select("kind", "host", F.col("mass").cast("double").alias("was"))
+        moved = new.join(was, ["kind", "host"], "left").where(
+            F.expr(f"was is null or abs(cast(mass as double) - was) > {SETTLED} * cast(mass as double)")
+        )
+        turn += 1
+        done = turn == rounds or moved.isEmpty()
         if now is not start:
             scratch.drop(now)
         now = new
@@ -90,7 +106,7 @@ def judge_urls(
     url_col: str = "url",
     html_col: str = "html",
     rules: tuple = RULES,
-    rounds: int = ROUNDS,
+    rounds: int | None = None,
     threshold: float = 1.0,
 ) -> DataFrame:
     """``(id, host, path, rule, verdict, trust, distrust)`` for every row.

@@ -72,3 +72,14 @@ def test_matches_brute_force(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert U.judge_urls(df).count() == 0
+
+
+def test_evidence_reaches_far_whatever_the_seeds(spark):
+    chain = [(i, f"http://h{i}.io/", f'<a href="http://{"bad.com" if i == 0 else f"h{i - 1}.io"}/">') for i in range(20)]
+    df = spark.createDataFrame([(99, "http://bad.com/en/1", ""), *chain], "page_id long, url string, html string")
+    assert {r["verdict"] for r in U.judge_urls(df).collect()} == {"block"}
+    seeds = spark.createDataFrame([("d", "a", 1), ("d", "z", 5_000_000)], "kind string, host string, n long")
+    edges = [(f"b{i}", "a") for i in range(100)] + [(f"c{i}", "b0") for i in range(100)] + [(f"d{i}", "c0") for i in range(100)]
+    ranks = U.propagate(seeds, spark.createDataFrame([*edges, ("e", "d0")], "src string, dst string"), U.Scratch(spark, "test"))
+    found = {r["host"]: r["distrust"] for r in ranks.collect()}
+    assert found["a"] > found["b0"] > found["c0"] > found["d0"] > found["e"] > 0
