@@ -5,22 +5,23 @@ shingles is 0.8 or more.  A shingle SimHash of 64 bits differs in some ten bits
 at that similarity, more than a byte-position index can guarantee to find.  So
 a first step takes candidates from a SimHash over the *set of words*, which a
 changed word hardly moves: of eight bytes at least three have to be equal and
-at most twelve bits differ.  A sketch of 256 minima of the shingle hashes (one
-permutation, one bin each) estimates each candidate's similarity with a
-standard error of 0.025 at 0.8.  Estimates more than four errors off decide;
-for the nearer ones the sets of shingles themselves are compared: first each
-document's best pair, then every pair whose ends are not joined by then.
-
-That step only joins what is easily found.  The second is complete: put the
-shingles of every text in one order, the same for all.  Two sets of similarity
-0.8 share one of the first ``n - ceil(0.8 n) + 1`` of each (prefix filter).
-Documents that meet under such a shingle, are not joined yet and whose sizes
-and places leave room for 0.8 have their shingle sets compared.  Shingles that
-are common in a sample stand last in the order, so few documents meet under
-them; any order gives the same pairs.
-
-Exact copies are one entry throughout.  Links are transitive; of each component
-the document with the smallest id stays.
+at most twelve bits differ.  It joins what is easily found; nothing is lost if
+it misses a pair, since the second step is complete.
+
+Second step: put the shingles of every text in one order, the same for all.
+Two sets of similarity 0.8 share one of the first ``n - ceil(0.8 n) + 1`` of
+each (prefix filter).  Shingles that are common in a sample stand last in the
+order, so few documents meet under them; any order gives the same pairs.
+Documents that meet under a shingle and are not joined yet are paired if sizes,
+places and bitmaps leave room for 0.8.  A bitmap has a bit for each of 512
+classes of shingles, set if the set holds an odd number of it: two sets differ
+in as many shingles at least as their bitmaps differ in bits.  A first round
+takes the closest pair of any two components under each shingle, a second one
+every pair whose ends are not joined by then.
+
+Whatever proposes a pair, the sets of shingles themselves are compared before
+the pair counts.  Equal texts are one entry throughout.  Links are transitive;
+of each component the document with the smallest id stays.
 """
 
 from __future__ import annotations
@@ -29,220 +30,301 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosegrid.llm.blocks import Spans, Words, lean, mix, text_blocks
 from prosegrid.llm.components import connected_components
 from prosegrid.llm.scratch import Scratch
-from prosegrid.llm.simhash import fold, links
+from prosegrid.llm.simhash import SMALL, fold, links
 
 WIDTH, SIMILARITY = 5, 0.8
-BINS = 256
-EMPTY = 0xFFFF
-#: Estimates this far from the wanted similarity are not checked further.
-MARGIN = 0.12
 MATCHES, MAX_BITS = 3, 12
 #: One text in so many is read to learn which shingles are common: those in ``COMMON`` of them,
 #: or more of a large sample, so that the list stays short.  Only speed depends on it.
 SAMPLE, COMMON, LIST = 64, 3, 4096
-#: Pairs that are formed at a time.
-PAIRS = 1 << 18
+#: Pairs that are formed at a time, and documents (as the sample tells) under one part of a shingle.
+PAIRS, PART = 1 << 18, 1 << 14
+#: 64-bit words of a bitmap.
+WORDS = 8
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_CLASSES = "c long, t1 long, t2 long, id long, n long"
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The least hash of each of 256 bins, 16 bits of it; ``EMPTY`` for a bin without one."""
-    out = np.full(BINS, EMPTY, np.uint16)
-    h = np.sort(hashes)
-    bins, at = np.unique(h >> np.uint64(56), return_index=True)
-    out[bins.astype(np.int64)] = np.minimum((h[at] >> np.uint64(40)) & np.uint64(0xFFFF), EMPTY - 1)
-    return out
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Which of 512 classes an odd number of these distinct hashes is in."""
+    odd = np.bincount((hashes >> np.uint64(55)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of rows of sketches."""
-    some = (a != EMPTY) | (b != EMPTY)
-    return ((a == b) & some).sum(1) / np.maximum(some.sum(1), 1)
+def room(na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
+    """How many shingles two sets of these sizes may differ in, at most."""
+    return (1 - least) / (1 + least) * (na.astype(np.int64) + nb) + 1e-9
 
 
-def _describe(width: int):
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in text_blocks(batch.column(1)):
-                w = Words(_LOWER[data], offsets)
-                n = len(w.doc)
-                grams = Spans(w.hashes)
-                full = grams(np.arange(max(0, n - width + 1)), np.arange(width, max(width, n + 1)))
-                words = mix(w.hashes)
-                fa, sketches = np.zeros(b - a, np.uint64), []
-                for i, (lo, hi) in enumerate(zip(w.lo.tolist(), w.hi.tolist())):
-                    fa[i] = fold(np.unique(words[lo:hi]))
-                    own = full[lo : hi - width + 1] if hi - lo >= width else grams(np.array([lo]), np.array([hi]))
-                    sketches.append(sketch(own).tobytes() if hi > lo else None)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        batch.column(2).slice(a, b - a),
-                        batch.column(3).slice(a, b - a),
-                        pa.array(fa.view(np.int64)),
-                        pa.array(sketches, pa.binary()),
-                    ],
-                    ["id", "t1", "t2", "fa", "sketch"],
-                )
-
-    return run
-
-
-@lean
-def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, BINS) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarity(x, y))], ["a", "b", "j"])
-
-
-def _shingle_sets(width: int):
-    """``(id, text)`` -> ``(id, sorted distinct shingle hashes, 32 bits each)``."""
-
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in text_blocks(batch.column(1)):
-                w = Words(_LOWER[data], offsets)
-                grams, sets = Spans(w.hashes), []
-                for lo, hi in zip(w.lo.tolist(), w.hi.tolist()):
-                    at = np.arange(lo, max(lo + 1, hi - width + 1))
-                    own = grams(at, np.minimum(at + width, hi))
-                    sets.append(np.unique((own >> np.uint64(32)).astype(np.uint32)).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["id", "set"])
-
-    return run
-
-
-def _compare(least: float):
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both + 1e-9 >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return run
-
-
-def _own_shingles(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Of every text with words: its row, and its distinct shingle hashes, sorted."""
+def _own_shingles(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of every text with words: its row, its distinct shingle hashes, sorted, and its distinct word hashes."""
     for a, _, data, offsets in text_blocks(texts):
         w = Words(_LOWER[data], offsets)
-        grams = Spans(w.hashes)
+        grams, words = Spans(w.hashes), mix(w.hashes)
         for i, (lo, hi) in enumerate(zip(w.lo.tolist(), w.hi.tolist())):
             if hi > lo:
                 at = np.arange(lo, max(lo + 1, hi - width + 1))
-                yield a + i, np.unique(grams(at, np.minimum(at + width, hi)))
+                yield a + i, np.unique(grams(at, np.minimum(at + width, hi))), np.unique(words[lo:hi])
 
 
 def _all_shingles(width: int):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, own in _own_shingles(batch.column(1), width):
+            for _, own, _ in _own_shingles(batch.column(1), width):
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["h"])
 
     return run
 
 
-def _prefixes(width: int, least: float, common):
-    """``(id, text)`` -> ``(h, id, n, at)``: the first shingles of each set, its size, and their places."""
+def _describe(width: int, least: float, common):
+    """``(id, t, t1, t2)`` -> fingerprint, number of shingles, bitmap, and the first shingles in the common order."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, number = common.value
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            h, size, row = [np.empty(0, np.uint64)], [], []
-            for i, own in _own_shingles(batch.column(1), width):
+            at, fa, size, bits, prefix = [], [], [], [], []
+
+            def rows() -> pa.RecordBatch:
+                mine = pa.array(at, pa.int64())
+                out = [batch.column(0).take(mine), batch.column(2).take(mine), batch.column(3).take(mine)]
+                out += [pa.array(np.array(fa, np.uint64).view(np.int64)), pa.array(size, pa.int32())]
+                out += [pa.array(bits, pa.binary()), pa.array(prefix, pa.binary())]
+                for x in (at, fa, size, bits, prefix):
+                    x.clear()
+                return pa.RecordBatch.from_arrays(out, ["id", "t1", "t2", "fa", "n", "bits", "prefix"])
+
+            held = 0
+            for i, own, words in _own_shingles(batch.column(1), width):
                 weight = np.zeros(len(own), np.int64)
                 if len(often):
                     place = np.minimum(np.searchsorted(often, own), len(often) - 1)
                     weight = np.where(often[place] == own, number[place], 0)
                 first = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1
-                h.append(own[np.lexsort((own, weight))[:first]])
+                at.append(i)
+                fa.append(fold(words))
                 size.append(len(own))
-                row.append(i)
-            number_of = np.array([len(x) for x in h[1:]], np.int64)
-            start = np.cumsum(number_of) - number_of
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(h).view(np.int64)),
-                    pa.array(np.repeat(ids[np.array(row, np.int64)], number_of)),
-                    pa.array(np.repeat(np.array(size, np.int32), number_of)),
-                    pa.array((np.arange(number_of.sum()) - np.repeat(start, number_of)).astype(np.int32)),
-                ],
-                ["h", "id", "n", "at"],
-            )
+                bits.append(bitmap(own).tobytes())
+                prefix.append(own[np.lexsort((own, weight))[:first]].tobytes())
+                held += 8 * first
+                if held > 1 << 22:
+                    yield rows()
+                    held = 0
+            yield rows()
+
+    return run
+
+
+def _prefixes(common, part: int):
+    """``(c, root, n, prefix)`` -> ``(h, parts, part, c, root, n, at)``; shingles that many hold are dealt to parts by ``c``."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, number = common.value
+        for batch in batches:
+            own = batch.column(3)
+            for lo in range(0, batch.num_rows, 256):
+                some = [np.frombuffer(own[i].as_py(), np.uint64) for i in range(lo, min(lo + 256, batch.num_rows))]
+                count = np.array([len(x) for x in some], np.int64)
+                h = np.concatenate(some)
+                c, root, n = (np.repeat(batch.column(k).slice(lo, 256).to_numpy(zero_copy_only=False), count) for k in range(3))
+                parts = np.ones(len(h), np.int64)
+                if len(often):
+                    place = np.minimum(np.searchsorted(often, h), len(often) - 1)
+                    parts = np.where(often[place] == h, -(-number[place] * SAMPLE // part), 1)
+                at = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
+                dealt = (mix(c.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
+                columns = [h.view(np.int64), parts.astype(np.int32), dealt.astype(np.int32), c, root, n, at.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["h", "parts", "part", "c", "root", "n", "at"])
 
     return run
 
 
-def _meetings(least: float):
-    """``(h, root, id, n, at)`` sorted by shingle and root -> pairs of different roots that can reach ``least``."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Sorted rows -> columns (binary ones as Arrow arrays) of one or more whole groups of the first ``keys`` columns."""
 
-    def pairs(h, root, ids, n, at) -> Iterator[pa.RecordBatch]:
-        rows = np.arange(len(h))
-        key = np.flatnonzero(np.append(h[1:] != h[:-1], True)) + 1
-        own = np.flatnonzero(np.append((h[1:] != h[:-1]) | (root[1:] != root[:-1]), True)) + 1
-        end, begin = key[np.searchsorted(key, rows, "right")], own[np.searchsorted(own, rows, "right")]
+    def join(pieces: list[pa.RecordBatch]) -> pa.Table:
+        return pa.Table.from_batches(pieces).combine_chunks()
+
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(keys)])
+        last = int(np.argmax((key == key[:, -1:]).all(0)))
+        before = rest and tuple(rest[-1].column(i)[-1].as_py() for i in range(keys))
+        if rest and (last or before != tuple(key[:, 0].tolist())):
+            yield join([*rest, batch.slice(0, last)])
+            rest = []
+        elif last:
+            yield join([batch.slice(0, last)])
+        rest.append(batch.slice(last))
+    if rest:
+        yield join(rest)
+
+
+def _edges(*keys: np.ndarray) -> np.ndarray:
+    """For each row of sorted keys, where its group ends."""
+    new = np.zeros(len(keys[0]), bool)
+    for k in keys:
+        new[:-1] |= k[1:] != k[:-1]
+    new[-1:] = True
+    ends = np.flatnonzero(new) + 1
+    return ends[np.searchsorted(ends, np.arange(len(new)), "right")]
+
+
+@lean
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Prefix rows sorted by shingle, part and root -> those of shingles that documents of several roots have."""
+    held: list[pa.RecordBatch] = []  # rows of one shingle and root, of which more may come
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, part, root, parts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 4, 1))
+        key = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (part[1:] != part[:-1]))))
+        size = np.diff(np.append(key, len(h)))
+        several = (np.maximum.reduceat(root, key) != np.minimum.reduceat(root, key)) | (parts[key] > 1)
+        keep = np.repeat(several, size)
+        light = batch.select([0, 1, 2, 3, 5, 6])
+        first = (int(h[0]), int(part[0]))
+        if now is not None and now[:2] == first:
+            if now[2] != int(root[0]) or several[0]:  # the shingle that is held has several roots
+                keep[: size[0]] = True
+                yield from held
+                held = []
+        else:
+            held = []
+        out = light.filter(pa.array(keep))
+        if out.num_rows:
+            yield out
+        own, mine = (int(h[-1]), int(part[-1]), int(root[-1])), np.zeros(len(h), bool)
+        if now is None or now[:2] != own[:2] or len(key) > 1:
+            held = []
+        mine[key[-1] :] = ~keep[key[-1] :]
+        some = light.filter(pa.array(mine))
+        done = bool(keep[-1])
+        if some.num_rows:
+            held.append(some)
+        if sum(b.num_rows for b in held) > PART:  # too many to hold: handed on, whether others follow or not
+            yield from held
+            held = []
+        now = (*own[:2], -1) if done else own
+
+
+def _meetings(least: float, closest: bool):
+    """``(h, i, j, root, part, c, n, at, bits)`` sorted by the first four -> pairs ``(a, b)`` of different roots that can reach ``least``.
+
+    Under one shingle every pair of documents is looked at whose parts are ``i``
+    and ``j``; with ``closest``, only the closest of each pair of roots is returned.
+    """
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        h, i, j, root, part, c, n, at = (table.column(k).to_numpy() for k in range(8))
+        bits = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint64).reshape(-1, WORDS)
+        end, begin = _edges(h, i, j), _edges(h, i, j, root)
         bound = np.concatenate(([0], np.cumsum(end - begin)))
         for lo in range(0, int(bound[-1]), PAIRS):
             each = np.arange(lo, min(lo + PAIRS, int(bound[-1])))
             x = np.searchsorted(bound, each, "right") - 1
             y = begin[x] + each - bound[x]
+            apart = (i[x] == j[x]) | (part[x] != part[y])
             both = np.minimum(n[x] - at[x], n[y] - at[y])  # at most, if this is the first that they share
-            good = both + 1e-9 >= least / (1 + least) * (n[x].astype(np.int64) + n[y])
+            good = apart & (both + 1e-9 >= least / (1 + least) * (n[x].astype(np.int64) + n[y]))
             x, y = x[good], y[good]
+            far = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+            good = far <= room(n[x], n[y], least)
+            x, y, far = x[good], y[good], far[good]
+            if closest and len(x):
+                one, two = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+                order = np.lexsort((c[y], c[x], far / (n[x] + n[y]), two, one, h[x]))
+                x, y, one, two = x[order], y[order], one[order], two[order]
+                new = np.concatenate(([True], (h[x][1:] != h[x][:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+                x, y = x[new], y[new]
             if len(x):
-                a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+                a, b = np.minimum(c[x], c[y]), np.maximum(c[x], c[y])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[list[np.ndarray]] = []
+        for table in _whole_groups(batches, 3):
+            yield from pairs(table)
+
+    return run
+
+
+def _possible(least: float):
+    """``(a, b, na, nb, x, y)``, sizes and bitmaps -> pairs that can reach ``least``, and how far apart they are."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, WORDS) for i in (4, 5))
+                na, nb = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+                far = np.maximum(np.bitwise_count(x ^ y).sum(1, dtype=np.int64), np.abs(na - nb))
+                out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far / (na + nb))], ["a", "b", "far"])
+                yield out.filter(pa.array(far <= room(na, nb, least)))
+
+    return run
+
+
+def _shingle_sets(width: int):
+    """``(c, t)`` -> ``(c, sorted distinct shingle hashes)``."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            last = int(np.argmax(now[0] == now[0][-1]))
-            if rest and (last or rest[-1][0][-1] != now[0][0]):
-                yield from pairs(*(np.concatenate(x) for x in zip(*rest, [c[:last] for c in now])))
-                rest = []
-            elif last:
-                yield from pairs(*(c[:last] for c in now))
-            rest.append([c[last:] for c in now])
-        if rest:
-            yield from pairs(*(np.concatenate(x) for x in zip(*rest)))
+            at, sets = [], []
+            for i, own, _ in _own_shingles(batch.column(1), width):
+                at.append(i)
+                sets.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(sets, pa.binary())], ["c", "own"])
 
     return run
 
 
-def _candidates(texts: DataFrame, number: int, joined: DataFrame, width: int, least: float) -> DataFrame:
-    """``texts(id, t, t1)``, each text once, and ``joined(node, root)`` -> every pair ``(a, b)`` not joined that can reach ``least``."""
-    sample = texts.where(F.pmod("t1", F.lit(SAMPLE)) == 0).select("id", "t").mapInArrow(_all_shingles(width), "h long")
-    common = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(COMMON, number // (SAMPLE * LIST)))
-    common = common.toArrow()
-    often, times = common.column("h").to_numpy().view(np.uint64), common.column("n").to_numpy()
+def _compare(least: float):
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both + 1e-9 >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _common(texts: DataFrame, number: int, width: int):
+    """Broadcast: shingles that are common in a sample of the texts, sorted, and in how many of them each is."""
+    sample = texts.where(F.pmod("t1", F.lit(SAMPLE)) == 0).dropDuplicates(["t1"]).select("id", "t")
+    found = sample.mapInArrow(_all_shingles(width), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    found = found.where(F.col("n") >= max(COMMON, number // (SAMPLE * LIST))).toArrow()
+    often, times = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(often)
-    shared = texts.sparkSession.sparkContext.broadcast((often[order], times[order]))
-    roots = joined.where("node <> root").select(F.col("node").alias("id"), "root")
-    first = texts.select("id", "t").mapInArrow(_prefixes(width, least, shared), "h long, id long, n int, at int")
-    first = first.join(roots, "id", "left").select("h", F.coalesce("root", "id").alias("root"), "id", "n", "at")
-    met = first.repartition("h").sortWithinPartitions("h", "root").mapInArrow(_meetings(least), "a long, b long")
-    return met.distinct()
+    return texts.sparkSession.sparkContext.broadcast((often[order], times[order]))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    t = F.col(text_col).cast("binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), t.alias("t"), F.xxhash64(t).alias("t1"), F.crc32(t).alias("t2"))
+    return rows.where("t is not null")
+
+
+def _same(x: DataFrame, y: DataFrame) -> Column:
+    """The same id, null or not, and the same text."""
+    return x["id"].eqNullSafe(y["id"]) & (x["t1"] == y["t1"]) & (x["t2"] == y["t2"])
 
 
 def near_copies(
@@ -251,74 +333,108 @@ def near_copies(
     text_col: str = "text",
     width: int = WIDTH,
     least: float = SIMILARITY,
+    small_size: int = SMALL,
+    part: int = PART,
 ) -> DataFrame:
-    """``(id, keeper)`` for every id that has a copy or near copy with a smaller id.
-
-    ``keeper`` is the smallest id of the component.  Rows that share an id are
-    one document and are not told apart.  Texts without words (null, empty,
-    white space) and rows without an id are nobody's copy.  Whole texts are
-    compared; other columns are not read.
+    """``(id, t1, t2, keeper, again)``: every id and text, named by two digests, that does not stay.
+
+    ``keeper`` is the smallest id of the component (null is greater than any);
+    of texts that share it, one.  With ``again`` the document stays, but comes
+    more than once.  Texts without words (null, empty, white space) are
+    nobody's copy.  Rows that share an id but not their text are told apart.
+    Whole texts are compared; other columns are not read.  ``small_size`` and
+    ``part`` decide how work is dealt, not what is found.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    t = F.col(text_col).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), t.alias("t"), F.xxhash64(t).alias("t1"), F.crc32(t).alias("t2"))
-    rows = scratch.store(
-        rows.where("id is not null and t is not null").mapInArrow(
-            _describe(width), "id long, t1 long, t2 long, fa long, sketch binary"
-        ).where("sketch is not null")
+    texts = _texts(docs, id_col, text_col)
+    shared = _common(texts, docs.count(), width)
+    described = scratch.store(
+        texts.mapInArrow(_describe(width, least, shared), "id long, t1 long, t2 long, fa long, n int, bits binary, prefix binary")
     )
-    same = scratch.store(rows.groupBy("t1", "t2").agg(F.min("id").alias("first")))
-    copies = rows.select("id", "t1", "t2").join(same, ["t1", "t2"]).select(F.col("id").alias("a"), F.col("first").alias("b"))
-    copies = copies.where("a <> b")
-    firsts = rows.join(same.select(F.col("first").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    firsts = scratch.store(firsts.select("id", "t1", "t2", "fa", "sketch"))
-    each = scratch.store(firsts.groupBy(F.col("fa").alias("fp")).agg(F.min("id").alias("first")))
-    near = links(each.select("fp"), scratch, max_bits=MAX_BITS, matches=MATCHES, radii=(3, 7, MAX_BITS)).distinct()
-    heads = each.join(firsts.select(F.col("id").alias("first"), "sketch"), "first")
-    a = heads.select(F.col("fp").alias("a"), F.col("first").alias("i"), F.col("sketch").alias("x"))
-    b = heads.select(F.col("fp").alias("b"), F.col("first").alias("j"), F.col("sketch").alias("y"))
-    across = near.join(a, "a").join(b, "b").select("i", "j", "x", "y")
-    equal = firsts.select(F.col("fa").alias("b"), F.col("id").alias("i"), F.col("sketch").alias("x")).join(b, "b")
-    found = across.unionByName(equal.where("i <> j").select("i", "j", "x", "y"))
-    judged = found.mapInArrow(_estimate, "a long, b long, j double").where(F.col("j") >= least - MARGIN)
-    judged = scratch.store(judged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "j").distinct())
-    sure = judged.where(F.col("j") > least + MARGIN).select("a", "b")
-    open_ = judged.where(F.col("j") <= least + MARGIN)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    texts = texts.where("id is not null and t is not null").select("id", "t", F.xxhash64("t").alias("t1"), F.crc32("t").alias("t2"))
+    often = described.groupBy("t1", "t2", "id").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("n"))).alias("f")
+    classes = often.groupBy("t1", "t2").agg(first).select("t1", "t2", "f.id", "f.n")
+    classes = scratch.store(classes.select(F.monotonically_increasing_id().alias("c"), "*"))
+    own = described.join(classes.drop("n"), _same(described, classes)).select("c", "fa", described["n"], "bits", "prefix")
+    own = scratch.store(own.dropDuplicates(["c"]))
 
     def hold(some: DataFrame) -> DataFrame:
         """Of these pairs, written already, those whose sets of shingles are as similar as wanted."""
-        ids = some.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        ids = firsts.select("id", "t1", "t2").join(ids, "id", "left_semi")
-        own = texts.join(ids, ["id", "t1", "t2"], "left_semi").select("id", "t")
-        sets = scratch.store(own.mapInArrow(_shingle_sets(width), "id long, set binary").dropDuplicates(["id"]))
-        x = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
-        y = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-        good = some.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_compare(least), "a long, b long")
-        good = scratch.store(good)
+        ends = classes.join(some.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c", "left_semi")
+        whole = texts.join(ends.drop("n"), _same(texts, ends)).select("c", "t").dropDuplicates(["c"])
+        sets = scratch.store(whole.mapInArrow(_shingle_sets(width), "c long, own binary"))
+        x = sets.select(F.col("c").alias("a"), F.col("own").alias("x"))
+        y = sets.select(F.col("c").alias("b"), F.col("own").alias("y"))
+        good = scratch.store(some.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_compare(least), "a long, b long"))
         scratch.drop(sets)
         return good
 
-    ends = open_.select(F.explode(F.array("a", "b")).alias("id"), F.struct("j", "a", "b").alias("e"))
-    best = scratch.store(ends.groupBy("id").agg(F.max("e").alias("e")).select("e.a", "e.b").distinct())
-    joined = connected_components(sure.unionByName(hold(best)).unionByName(copies), scratch)
-    ra, rb = (joined.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b"))
-    rest = open_.join(best, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left")
-    rest = scratch.store(rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+    def grown(joined: DataFrame | None, some: DataFrame) -> DataFrame:
+        if joined is not None:
+            some = some.unionByName(joined.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        return connected_components(some, scratch)
+
+    # What the SimHash of the set of words finds.
+    each = scratch.store(own.groupBy(F.col("fa").alias("fp")).agg(F.min("c").alias("head")))
+    near = links(each.select("fp"), scratch, MAX_BITS, MATCHES, small_size=small_size, radii=(3, 7, MAX_BITS)).distinct()
+    heads = [each.select(F.col("fp").alias(f), F.col("head").alias(c)) for f, c in (("a", "x"), ("b", "y"))]
+    across = near.join(heads[0], "a").join(heads[1], "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    equal = own.select(F.col("fa").alias("fp"), F.col("c").alias("b")).join(each, "fp").where("head <> b").select(F.col("head").alias("a"), "b")
+    mine = own.select("c", "n", "bits")
+    x, y = (mine.select(F.col("c").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in ("a", "b"))
+    found = across.unionByName(equal).distinct().join(x, "a").join(y, "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
+    judged = scratch.store(found.mapInArrow(_possible(least), "a long, b long, far double"))
+    ends = judged.select(F.explode(F.array("a", "b")).alias("c"), F.struct("far", "a", "b").alias("e"))
+    best = scratch.store(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.a", "e.b").distinct())
+    joined = grown(None, hold(best))
+
+    def apart(some: DataFrame) -> DataFrame:
+        ra, rb = (joined.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b"))
+        some = some.join(ra, "a", "left").join(rb, "b", "left")
+        return some.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+    rest = scratch.store(apart(judged.join(best, ["a", "b"], "left_anti").select("a", "b")))
     if not rest.isEmpty():
-        stars = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        joined = connected_components(stars.unionByName(hold(rest)), scratch)
-    once = firsts.select("id", "t1", "t2")
-    whole = texts.join(once, ["id", "t1", "t2"], "left_semi").select("id", "t", "t1").dropDuplicates(["id"])
-    met = scratch.store(_candidates(whole, firsts.count(), joined, width, least))
-    if not met.isEmpty():
-        stars = joined.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        joined = connected_components(stars.unionByName(hold(met)), scratch)
-    return joined.where("node <> root").select(F.col("node").alias("id"), F.col("root").alias("keeper"))
-
-
-def without_near_copies(docs: DataFrame, copies: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without those that ``copies(id)`` lists; rows without an id stay."""
-    gone = copies.select(F.col("id").alias("__gone__"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone__"), "left_anti")
+        joined = grown(joined, hold(rest))
+
+    # What it missed: all that share a shingle of their prefixes.
+    rooted = lambda some: some.join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    prefixes = rooted(own.select("c", "n", "prefix")).select("c", "root", "n", "prefix")
+    prefixes = prefixes.mapInArrow(_prefixes(shared, part), "h long, parts int, part int, c long, root long, n int, at int")
+    sorted_ = prefixes.repartition("h", "part").sortWithinPartitions("h", "part", "root")
+    met = scratch.store(sorted_.mapInArrow(_met, "h long, parts int, part int, c long, n int, at int"))
+    for closest in (True, False):
+        cells = rooted(met).join(mine.select("c", "bits"), "c")
+        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        cells = cells.withColumn("k", other).withColumn("i", F.least("part", "k")).withColumn("j", F.greatest("part", "k"))
+        cells = cells.select("h", "i", "j", "root", "part", "c", "n", "at", "bits").repartition("h", "i", "j")
+        cells = cells.sortWithinPartitions("h", "i", "j", "root", "c")
+        some = scratch.store(cells.mapInArrow(_meetings(least, closest), "a long, b long").distinct())
+        if some.isEmpty():
+            break
+        joined = grown(joined, hold(some))
+
+    rooted_classes = classes.join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    rooted_classes = scratch.store(rooted_classes)
+    keep = rooted_classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "c")).alias("k"))
+    keep = rooted_classes.join(keep.select("root", F.col("k.id").alias("keeper"), F.col("k.c").alias("kc")), "root")
+    keep = keep.select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), F.col("id").alias("own"), "n", "keeper", (F.col("c") == F.col("kc")).alias("stays"))
+    said = often.drop("n").join(keep, (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")))
+    first = F.col("stays") & F.col("id").eqNullSafe(F.col("own"))
+    said = said.withColumn("again", first).where(~F.col("again") | (F.col("n") > 1))
+    return scratch.store(said.select("id", "t1", "t2", "keeper", "again"))
+
+
+def without_near_copies(docs: DataFrame, copies: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without what ``copies`` lists; of rows that repeat a document that stays, one."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    t = F.col(f"c{names.index(text_col)}").cast("binary")
+    plain = plain.withColumn("id", F.col(f"c{names.index(id_col)}").cast("long")).withColumn("t1", F.xxhash64(t)).withColumn("t2", F.crc32(t))
+    said = copies.select(F.col("id").alias("u"), F.col("t1").alias("u1"), F.col("t2").alias("u2"), "again")
+    same = F.col("id").eqNullSafe(F.col("u")) & (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2"))
+    joined = plain.join(said, same, "left").select(*plain.columns, "again")
+    out = joined.where("again is null")
+    if not said.where("again").isEmpty():
+        out = out.unionByName(joined.where("again").dropDuplicates(["t1", "t2"]))
+    return out.drop("id", "t1", "t2", "again").toDF(*names)
