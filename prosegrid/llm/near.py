@@ -19,8 +19,9 @@ in as many shingles at least as their bitmaps differ in bits.  A first round
 takes the closest pair of any two components under each shingle, a second one
 every pair whose ends are not joined by then.
 
-Whatever proposes a pair, the sets of shingles themselves are compared before
-the pair counts.  Equal texts are one entry throughout.  Links are transitive;
+Whatever proposes a pair, wider bitmaps, of two to four bits for a shingle,
+are compared, and of the pairs that these leave, few of them below 0.78, the
+sets of shingles themselves before the pair counts.  Equal texts are one entry throughout.  Links are transitive;
 of each component the document with the smallest id stays.
 """
 
@@ -42,7 +43,7 @@ WIDTH, SIMILARITY = 5, 0.8
 MATCHES, MAX_BITS = 3, 12
 #: One text in so many is read to learn which shingles are common: those in ``COMMON`` of them,
 #: or more of a large sample, so that the list stays short.  Only speed depends on it.
-SAMPLE, COMMON, LIST = 64, 3, 4096
+SAMPLE, COMMON, LIST = 16, 3, 4096
 #: Pairs that are formed at a time, and documents (as the sample tells) under one part of a shingle.
 PAIRS, PART = 1 << 18, 1 << 14
 #: 64-bit words of a bitmap.
@@ -52,12 +53,26 @@ _LOWER[65:91] += 32
 _CLASSES = "c long, t1 long, t2 long, id long, n long"
 
 
-def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """Which of 512 classes an odd number of these distinct hashes is in."""
-    odd = np.bincount((hashes >> np.uint64(55)).astype(np.int64), minlength=64 * WORDS) & 1
+def bitmap(hashes: np.ndarray, bits: int = 64 * WORDS) -> np.ndarray:
+    """Which of so many classes, a power of two, an odd number of these distinct hashes is in."""
+    odd = np.bincount((hashes >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little")
 
 
+def wide_bitmap(hashes: np.ndarray) -> np.ndarray:
+    """The same with two to four classes for each hash, 64 at least."""
+    return bitmap(hashes, max(64, 1 << (2 * len(hashes) - 1).bit_length()))
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many bits two bitmaps of perhaps different widths differ; classes of the wider one are put together."""
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        odd = np.unpackbits(x, bitorder="little").reshape(-1, 2)
+        x = np.packbits(odd[:, 0] ^ odd[:, 1], bitorder="little")
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def room(na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
     """How many shingles two sets of these sizes may differ in, at most."""
     return (1 - least) / (1 + least) * (na.astype(np.int64) + nb) + 1e-9
@@ -91,16 +106,16 @@ def _describe(width: int, least: float, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, number = common.value
         for batch in batches:
-            at, fa, size, bits, prefix = [], [], [], [], []
+            at, fa, size, bits, wide, prefix = [], [], [], [], [], []
 
             def rows() -> pa.RecordBatch:
                 mine = pa.array(at, pa.int64())
                 out = [batch.column(0).take(mine), batch.column(2).take(mine), batch.column(3).take(mine)]
                 out += [pa.array(np.array(fa, np.uint64).view(np.int64)), pa.array(size, pa.int32())]
-                out += [pa.array(bits, pa.binary()), pa.array(prefix, pa.binary())]
-                for x in (at, fa, size, bits, prefix):
+                out += [pa.array(x, pa.binary()) for x in (bits, wide, prefix)]
+                for x in (at, fa, size, bits, wide, prefix):
                     x.clear()
-                return pa.RecordBatch.from_arrays(out, ["id", "t1", "t2", "fa", "n", "bits", "prefix"])
+                return pa.RecordBatch.from_arrays(out, ["id", "t1", "t2", "fa", "n", "bits", "wide", "prefix"])
 
             held = 0
             for i, own, words in _own_shingles(batch.column(1), width):
@@ -113,6 +128,7 @@ def _describe(width: int, least: float, common):
                 fa.append(fold(words))
                 size.append(len(own))
                 bits.append(bitmap(own).tobytes())
+                wide.append(wide_bitmap(own).tobytes())
                 prefix.append(own[np.lexsort((own, weight))[:first]].tobytes())
                 held += 8 * first
                 if held > 1 << 22:
@@ -124,7 +140,10 @@ def _describe(width: int, least: float, common):
 
 
 def _prefixes(common, part: int):
-    """``(c, root, n, prefix)`` -> ``(h, parts, part, c, root, n, at)``; shingles that many hold are dealt to parts by ``c``."""
+    """``(c, root, n, prefix)`` -> ``(h, part, c, root, n, at)``; shingles that many hold are dealt to parts by ``c``.
+
+    The column ``part`` has the number of parts in its upper half.
+    """
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,18 +151,18 @@ def _prefixes(common, part: int):
         for batch in batches:
             own = batch.column(3)
             for lo in range(0, batch.num_rows, 256):
-                some = [np.frombuffer(own[i].as_py(), np.uint64) for i in range(lo, min(lo + 256, batch.num_rows))]
+                some = [np.frombuffer(own[i].as_buffer(), np.uint64) for i in range(lo, min(lo + 256, batch.num_rows))]
                 count = np.array([len(x) for x in some], np.int64)
                 h = np.concatenate(some)
                 c, root, n = (np.repeat(batch.column(k).slice(lo, 256).to_numpy(zero_copy_only=False), count) for k in range(3))
                 parts = np.ones(len(h), np.int64)
                 if len(often):
                     place = np.minimum(np.searchsorted(often, h), len(often) - 1)
-                    parts = np.where(often[place] == h, -(-number[place] * SAMPLE // part), 1)
+                    parts = np.where(often[place] == h, np.minimum(-(-number[place] * SAMPLE // part), 1 << 15), 1)
                 at = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
                 dealt = (mix(c.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
-                columns = [h.view(np.int64), parts.astype(np.int32), dealt.astype(np.int32), c, root, n, at.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["h", "parts", "part", "c", "root", "n", "at"])
+                columns = [h.view(np.int64), (parts << 16 | dealt).astype(np.int32), c, root, n, at.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["h", "part", "c", "root", "n", "at"])
 
     return run
 
@@ -181,50 +200,38 @@ def _edges(*keys: np.ndarray) -> np.ndarray:
     return ends[np.searchsorted(ends, np.arange(len(new)), "right")]
 
 
-@lean
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Prefix rows sorted by shingle, part and root -> those of shingles that documents of several roots have."""
-    held: list[pa.RecordBatch] = []  # rows of one shingle and root, of which more may come
-    now = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        h, part, root, parts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 4, 1))
-        key = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (part[1:] != part[:-1]))))
-        size = np.diff(np.append(key, len(h)))
-        several = (np.maximum.reduceat(root, key) != np.minimum.reduceat(root, key)) | (parts[key] > 1)
-        keep = np.repeat(several, size)
-        light = batch.select([0, 1, 2, 3, 5, 6])
-        first = (int(h[0]), int(part[0]))
-        if now is not None and now[:2] == first:
-            if now[2] != int(root[0]) or several[0]:  # the shingle that is held has several roots
-                keep[: size[0]] = True
-                yield from held
-                held = []
-        else:
-            held = []
-        out = light.filter(pa.array(keep))
-        if out.num_rows:
-            yield out
-        own, mine = (int(h[-1]), int(part[-1]), int(root[-1])), np.zeros(len(h), bool)
-        if now is None or now[:2] != own[:2] or len(key) > 1:
-            held = []
-        mine[key[-1] :] = ~keep[key[-1] :]
-        some = light.filter(pa.array(mine))
-        done = bool(keep[-1])
-        if some.num_rows:
-            held.append(some)
-        if sum(b.num_rows for b in held) > PART:  # too many to hold: handed on, whether others follow or not
-            yield from held
-            held = []
-        now = (*own[:2], -1) if done else own
+def _met(least: float):
+    """Prefix rows sorted by shingle and part -> those that another row of the shingle may be paired with.
+
+    That is of another root, and as large but for a factor of ``least``.
+    """
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, 2):
+            h, part, _, root, n = (table.column(i).to_numpy() for i in range(5))
+            order = np.lexsort((n, part, h))
+            h, part, root, n = h[order], part[order], root[order], n[order].astype(np.int64)
+            same = (h[1:] == h[:-1]) & (part[1:] == part[:-1])
+            first = np.flatnonzero(np.concatenate(([True], ~same)))
+            several = np.maximum.reduceat(root, first) != np.minimum.reduceat(root, first)
+            several = np.repeat(several, np.diff(np.append(first, len(h))))
+            close = same & (n[:-1] + 1e-9 >= least * n[1:])
+            keep = several & (np.concatenate((close, [False])) | np.concatenate(([False], close)))
+            keep |= part >> 16 > 1  # the other parts are not here
+            rows = np.sort(order[keep])
+            if len(rows):
+                yield from table.select([0, 1, 2, 4, 5]).take(pa.array(rows)).combine_chunks().to_batches()
+
+    return run
 
 
 def _meetings(least: float, closest: bool):
     """``(h, i, j, root, part, c, n, at, bits)`` sorted by the first four -> pairs ``(a, b)`` of different roots that can reach ``least``.
 
     Under one shingle every pair of documents is looked at whose parts are ``i``
-    and ``j``; with ``closest``, only the closest of each pair of roots is returned.
+    and ``j``; with ``closest``, only the closest of two roots is returned, with
+    the shingle ``h`` if there are others.
     """
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -243,15 +250,18 @@ def _meetings(least: float, closest: bool):
             far = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
             good = far <= room(n[x], n[y], least)
             x, y, far = x[good], y[good], far[good]
-            if closest and len(x):
+            if not len(x):
+                continue
+            more = np.zeros(len(x), bool)
+            if closest:
                 one, two = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
                 order = np.lexsort((c[y], c[x], far / (n[x] + n[y]), two, one, h[x]))
                 x, y, one, two = x[order], y[order], one[order], two[order]
-                new = np.concatenate(([True], (h[x][1:] != h[x][:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-                x, y = x[new], y[new]
-            if len(x):
-                a, b = np.minimum(c[x], c[y]), np.maximum(c[x], c[y])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                first = np.flatnonzero(np.concatenate(([True], (h[x][1:] != h[x][:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
+                more = np.diff(np.append(first, len(x))) > 1
+                x, y = x[first], y[first]
+            a, b = np.minimum(c[x], c[y]), np.maximum(c[x], c[y])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(h[x], mask=~more)], ["a", "b", "h"])
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,6 +287,23 @@ def _possible(least: float):
     return run
 
 
+def _closer(least: float):
+    """``(a, b, na, nb, x, y)``, sizes and wide bitmaps -> pairs that can reach ``least``."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+            far = [
+                differing(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8))
+                for x, y in zip(batch.column(4), batch.column(5))
+            ]
+            good = pa.array(np.array(far, np.int64) <= room(na, nb, least), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(good)
+
+    return run
+
+
 def _shingle_sets(width: int):
     """``(c, t)`` -> ``(c, sorted distinct shingle hashes)``."""
 
@@ -349,17 +376,23 @@ def near_copies(
     texts = _texts(docs, id_col, text_col)
     shared = _common(texts, docs.count(), width)
     described = scratch.store(
-        texts.mapInArrow(_describe(width, least, shared), "id long, t1 long, t2 long, fa long, n int, bits binary, prefix binary")
+        texts.mapInArrow(_describe(width, least, shared), "id long, t1 long, t2 long, fa long, n int, bits binary, wide binary, prefix binary")
     )
-    often = described.groupBy("t1", "t2", "id").agg(F.count(F.lit(1)).alias("n"))
+    often = scratch.store(described.groupBy("t1", "t2", "id").agg(F.count(F.lit(1)).alias("n")))
     first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("n"))).alias("f")
     classes = often.groupBy("t1", "t2").agg(first).select("t1", "t2", "f.id", "f.n")
     classes = scratch.store(classes.select(F.monotonically_increasing_id().alias("c"), "*"))
-    own = described.join(classes.drop("n"), _same(described, classes)).select("c", "fa", described["n"], "bits", "prefix")
-    own = scratch.store(own.dropDuplicates(["c"]))
+    own = described.withColumnRenamed("n", "size").join(classes, _same(described, classes))
+    own = own.select("c", "fa", F.col("size").alias("n"), "bits", "wide", "prefix", F.col("n").alias("times"))
+    once, again = own.where("times = 1"), own.where("times > 1").dropDuplicates(["c"])
+    own = scratch.store(once.unionByName(again).drop("times"))
+    scratch.drop(described)
 
     def hold(some: DataFrame) -> DataFrame:
         """Of these pairs, written already, those whose sets of shingles are as similar as wanted."""
+        x, y = (own.select(F.col("c").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(w)) for c, w in (("a", "x"), ("b", "y")))
+        closer = some.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y")
+        some = scratch.store(closer.mapInArrow(_closer(least), "a long, b long"))
         ends = classes.join(some.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c", "left_semi")
         whole = texts.join(ends.drop("n"), _same(texts, ends)).select("c", "t").dropDuplicates(["c"])
         sets = scratch.store(whole.mapInArrow(_shingle_sets(width), "c long, own binary"))
@@ -388,10 +421,10 @@ def near_copies(
     best = scratch.store(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.a", "e.b").distinct())
     joined = grown(None, hold(best))
 
-    def apart(some: DataFrame) -> DataFrame:
+    def apart(some: DataFrame, *more: str) -> DataFrame:
         ra, rb = (joined.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b"))
         some = some.join(ra, "a", "left").join(rb, "b", "left")
-        return some.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+        return some.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", *more)
 
     rest = scratch.store(apart(judged.join(best, ["a", "b"], "left_anti").select("a", "b")))
     if not rest.isEmpty():
@@ -400,19 +433,27 @@ def near_copies(
     # What it missed: all that share a shingle of their prefixes.
     rooted = lambda some: some.join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     prefixes = rooted(own.select("c", "n", "prefix")).select("c", "root", "n", "prefix")
-    prefixes = prefixes.mapInArrow(_prefixes(shared, part), "h long, parts int, part int, c long, root long, n int, at int")
-    sorted_ = prefixes.repartition("h", "part").sortWithinPartitions("h", "part", "root")
-    met = scratch.store(sorted_.mapInArrow(_met, "h long, parts int, part int, c long, n int, at int"))
-    for closest in (True, False):
-        cells = rooted(met).join(mine.select("c", "bits"), "c")
-        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        cells = cells.withColumn("k", other).withColumn("i", F.least("part", "k")).withColumn("j", F.greatest("part", "k"))
+    prefixes = prefixes.mapInArrow(_prefixes(shared, part), "h long, part int, c long, root long, n int, at int")
+    met = prefixes.repartition("h", "part").sortWithinPartitions("h", "part")
+    met = scratch.store(met.mapInArrow(_met(least), "h long, part int, c long, n int, at int"))
+
+    def meetings(rows: DataFrame, closest: bool) -> DataFrame:
+        parts, own_part = F.shiftright("part", 16), F.col("part").bitwiseAND(F.lit(0xFFFF))
+        cells = rooted(rows).join(mine.select("c", "bits"), "c").withColumn("k", F.explode(F.sequence(F.lit(0), parts - 1)))
+        cells = cells.withColumn("part", own_part).withColumn("i", F.least("part", "k")).withColumn("j", F.greatest("part", "k"))
         cells = cells.select("h", "i", "j", "root", "part", "c", "n", "at", "bits").repartition("h", "i", "j")
         cells = cells.sortWithinPartitions("h", "i", "j", "root", "c")
-        some = scratch.store(cells.mapInArrow(_meetings(least, closest), "a long, b long").distinct())
-        if some.isEmpty():
-            break
-        joined = grown(joined, hold(some))
+        return scratch.store(cells.mapInArrow(_meetings(least, closest), "a long, b long, h long"))
+
+    some = meetings(met, True)
+    joined = grown(joined, hold(scratch.store(some.select("a", "b").distinct())))
+    # Roots that are still apart, with more pairs under a shingle than the closest.
+    open_ = some.where("h is not null")
+    left = scratch.store(apart(open_, "h").select("h").distinct())
+    if not left.isEmpty():
+        rest = meetings(met.join(left, "h", "left_semi"), False)
+        rest = rest.select("a", "b").distinct().join(some.select("a", "b").distinct(), ["a", "b"], "left_anti")
+        joined = grown(joined, hold(scratch.store(rest)))
 
     rooted_classes = classes.join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     rooted_classes = scratch.store(rooted_classes)

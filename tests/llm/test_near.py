@@ -94,12 +94,16 @@ def test_common_shingles_and_pairs_in_parts(spark, monkeypatch):
 
 def test_bitmaps_differ_in_no_more_bits_than_sets():
     rng = np.random.default_rng(2)
-    h = np.unique(rng.integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2))
+    h = rng.permutation(np.unique(rng.integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2)))
     for both in (500, 800, 950):
         a, b = h[:both], np.concatenate((h[:both], h[both:] + np.uint64(1)))
         far = int(np.bitwise_count(N.bitmap(a) ^ N.bitmap(b)).sum())
         assert 0 < far <= len(np.setxor1d(a, b))
+        assert far <= N.differing(N.wide_bitmap(a), N.wide_bitmap(b)) <= len(np.setxor1d(a, b))
     assert not N.bitmap(np.empty(0, np.uint64)).any()
+    for n in (1, 2, 31, 32, 33, 700):  # widths that are not the same
+        a, b = h[:n], h[: n + n // 4]
+        assert n // 8 <= N.differing(N.wide_bitmap(a), N.wide_bitmap(b)) <= n // 4
 
 
 def linked(texts, least=0.8):
