@@ -42,6 +42,9 @@ class Encoder:
     itself.  Here the cutting is array arithmetic, every distinct word is
     encoded once by the tokenizer, and its ids are kept.  Which characters
     are letters, numbers or white space is asked from the tokenizer too.
+    Words are looked up by a hash and then compared character by character.
+    Texts that hold an added token, or a word whose hash another word has,
+    go to the tokenizer whole, so ids are always its own.
     """
 
     LETTER, NUMBER, OTHER, SPACE, UNKNOWN = 1, 2, 3, 4, 0
@@ -51,7 +54,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.kinds = np.zeros(0x110000, np.uint8)
         self._forget()
 
@@ -60,6 +63,8 @@ class Encoder:
         self.known: dict[int, int] = {}
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
         self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.points, self.written = np.empty(1 << 16, np.uint32), 0
+        self.begin, self.long = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def _kind(self, c: str) -> int:
         cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
@@ -96,7 +101,7 @@ class Encoder:
                     start[i + 1 + took] = True
         return np.flatnonzero(start)
 
-    def _learn(self, keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, text: str) -> np.ndarray:
+    def _learn(self, keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, text: str, points: np.ndarray) -> np.ndarray:
         """Numbers of words; those not known yet are encoded."""
         keys, at, back = np.unique(keys, return_index=True, return_inverse=True)
         known = self.known
@@ -114,6 +119,17 @@ class Encoder:
             while base + len(new) > len(self.at):
                 self.at = np.concatenate((self.at, np.zeros_like(self.at)))
                 self.size = np.concatenate((self.size, np.zeros_like(self.size)))
+                self.begin = np.concatenate((self.begin, np.zeros_like(self.begin)))
+                self.long = np.concatenate((self.long, np.zeros_like(self.long)))
+            long = hi[spots] - lo[spots]
+            while self.written + int(long.sum()) > len(self.points):
+                self.points = np.concatenate((self.points, np.empty_like(self.points)))
+            ends = np.cumsum(long)
+            its = points[np.repeat(lo[spots] - (ends - long), long) + np.arange(int(ends[-1]))]
+            self.points[self.written : self.written + len(its)] = its
+            self.begin[base : base + len(new)] = self.written + ends - long
+            self.long[base : base + len(new)] = long
+            self.written += len(its)
             self.ids[self.used : self.used + len(flat)] = flat
             self.at[base : base + len(new)] = self.used + np.cumsum(sizes) - sizes
             self.size[base : base + len(new)] = sizes
@@ -138,13 +154,41 @@ class Encoder:
         number = self.words[slot].astype(np.int64)
         miss = np.flatnonzero(self.keys[slot] != keys)
         if len(miss):
-            number[miss] = self._learn(keys[miss], lo[miss], hi[miss], text)
+            number[miss] = self._learn(keys[miss], lo[miss], hi[miss], text, points)
             self.keys[slot[miss]], self.words[slot[miss]] = keys[miss], number[miss]
         size = self.size[number].astype(np.int64)
         ends = np.cumsum(size)
         places = np.repeat(self.at[number] - (ends - size), size) + np.arange(int(ends[-1]))
         bound = np.concatenate(([0], ends))[np.searchsorted(lo, offsets)]
-        return self.ids[places], bound
+        whole = self._not_by_words(points, offsets, text, lo, hi, number)
+        if not whole:
+            return self.ids[places], bound
+        ids = [self.ids[places[bound[i] : bound[i + 1]]] for i in range(len(bound) - 1)]
+        for i in whole:
+            ids[i] = np.array(self.tokenizer.encode(text[offsets[i] : offsets[i + 1]], add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(ids), np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+
+    def _not_by_words(self, points, offsets, text: str, lo, hi, number) -> list[int]:
+        """Texts with an added token, or a word that is not the one found for its hash."""
+        odd = set()
+        for token in self.added:
+            at = text.find(token)
+            while at >= 0:
+                i = int(np.searchsorted(offsets, at, "right")) - 1
+                if at + len(token) <= offsets[i + 1]:
+                    odd.add(i)
+                    at = text.find(token, int(offsets[i + 1]))
+                else:
+                    at = text.find(token, at + 1)
+        long = hi - lo
+        fits = self.long[number] == long
+        if fits.all():  # words follow one another without a gap
+            fits = self.points[np.repeat(self.begin[number] - lo, long) + np.arange(len(points))] == points
+            wrong = np.flatnonzero(~fits)
+        else:
+            wrong = lo[~fits]
+        odd.update((np.searchsorted(offsets, wrong, "right") - 1).tolist())
+        return sorted(odd)
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -14,9 +14,7 @@ PATH = P.path("byte_bpe_50k.json")
 
 
 def reference():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=120, deadline=None)
@@ -30,6 +28,44 @@ def test_ids_are_the_tokenizers(texts):
         assert ids[bound[i] : bound[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def ids_of(encoder, texts):
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts]))).astype(np.int64)
+    ids, bound = encoder.encode(data, offsets)
+    return [ids[a:b].tolist() for a, b in zip(bound, bound[1:])]
+
+
+def test_added_tokens_and_their_parts():
+    texts = ["it's <|endoftext|> end", "<|endoftext|>", "", "<|endof", "text|>", "é<|endoftext|><|endoftext|>\n", "plain text", "<|endoftext|", "> x"]
+    t = reference()
+    assert 50256 in t.encode(texts[0], add_special_tokens=False).ids
+    assert ids_of(K.encoder(PATH), texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_words_whose_hashes_meet(monkeypatch):
+    monkeypatch.setattr(K, "mix", lambda h: h & np.uint64(15))  # sixteen hashes for all words
+    texts = ["some words of several sizes, some more", "other words come here", "", "and 12 345 of it's \u00e9 ends"] * 3
+    t = reference()
+    assert ids_of(K.Encoder(PATH), texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_long_texts_and_a_loss_limit_that_binds(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["alpha", "beta", "don't", "42"], n)) for n in [40000, *rng.integers(1, 900, 60)]]
+    rows = [(i, t, int(rng.integers(0, 40)), 1) for i, t in enumerate(texts)] + [(900, None, None, 1), (901, "no prompt", None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, prompt long, sequence_id int")
+    got = K.pack(df, PATH, prompt_col="prompt", loss=300, segments=12).collect()
+    tokens, loss, pieces = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in got:
+        tokens[r["sequence_id"]] += r["length"]
+        loss[r["sequence_id"]] += r["loss_tokens"]
+        pieces[r["sequence_id"]] += 1
+    assert max(loss.values()) == 300 and max(tokens.values()) <= 1024 and max(pieces.values()) <= 12
+    assert all(n & (n - 1) == 0 for n in tokens.values())
+    t = reference()
+    assert sum(tokens.values()) == sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x, _, _ in rows)
+
+
 @pytest.mark.parametrize("limits", [(1024, 256, None), (1024, 8, None), (512, 64, 200), (64, 3, 10), (16, 1, None)])
 def test_limits_and_lengths(limits):
     capacity, segments, loss = limits
