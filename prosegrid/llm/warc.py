@@ -14,7 +14,7 @@ follow by an equi-join on the record id.
 
 from __future__ import annotations
 
-import gzip
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,34 +26,111 @@ from prosegrid.llm.scratch import Scratch
 #: Headers by which a 304 answer updates the stored response.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 BUCKET_SECONDS = 86400
+#: Bytes that are inflated at a time, of the longest header, and of blocks after which rows are handed on.
+CHUNK, HEADER, HELD = 1 << 18, 1 << 16, 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def parse_records(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file, gzipped or not: ``headers`` (names in lower case) and ``block``."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+def _plain(data) -> Iterator[bytes]:
+    """The content of a file, inflated member by member if gzipped, in chunks; ends at the first damage."""
+    view = memoryview(data)
+    if bytes(view[:2]) != b"\x1f\x8b":
+        for at in range(0, len(view), CHUNK):
+            yield bytes(view[at : at + CHUNK])
+        return
     at = 0
-    while True:
-        at = data.find(b"WARC/", at)
-        if at < 0:
-            return
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+    while bytes(view[at : at + 2]) == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            some = bytes(view[at : at + CHUNK])
+            if not some:
+                return
+            at += len(some)
+            try:
+                while some and not member.eof:
+                    yield member.decompress(some, CHUNK)
+                    some = member.unconsumed_tail
+            except zlib.error:
+                return
+        at -= len(member.unused_data)
+
+
+class _Reader:
+    """What is read ahead of a stream of chunks."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.held = chunks, bytearray()
+
+    def more(self) -> bool:
+        some = next(self.chunks, None)
+        if some is not None:
+            self.held += some
+        return some is not None
+
+    def until(self, mark: bytes, most: int) -> bytes | None:
+        """What stands before the mark, which is skipped; null if it does not come within ``most`` bytes."""
+        seen = 0
+        while True:
+            at = self.held.find(mark, max(0, seen - len(mark)))
+            if at >= 0:
+                out = bytes(self.held[:at])
+                del self.held[: at + len(mark)]
+                return out
+            seen = len(self.held)
+            if seen > most or not self.more():
+                return None
+
+    def skip_to(self, mark: bytes) -> bool:
+        """Forward to the mark, at the beginning of a line."""
+        before = b"\n"
+        while True:
+            at = 0
+            while (at := self.held.find(mark, at)) >= 0:
+                if (self.held[at - 1 : at] if at else before) == b"\n":
+                    del self.held[:at]
+                    return True
+                at += 1
+            drop = max(0, len(self.held) - len(mark))
+            if drop:
+                before = bytes(self.held[drop - 1 : drop])
+                del self.held[:drop]
+            if not self.more():
+                return False
+
+    def take(self, n: int) -> bytes | None:
+        while len(self.held) < n:
+            if not self.more():
+                return None
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+
+def parse_records(data) -> Iterator[dict]:
+    """The records of a WARC file, gzipped or not: ``headers`` (names in lower case) and ``block``.
+
+    One record is held at a time.  A header without an end or without a length
+    in digits is passed over; a record that the end of the file, or damage to
+    its compression, cuts short is not returned, nor what follows.
+    """
+    reader = _Reader(_plain(data))
+    while reader.skip_to(b"WARC/"):
+        head = reader.until(b"\r\n\r\n", HEADER)
+        if head is None:
+            reader.take(1)
+            continue
         headers = {}
-        for line in lines:
+        for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
             name, colon, value = line.partition(":")
             if colon:
                 headers[name.strip().lower()] = value.strip()
-        try:
-            size = int(headers.get("content-length", "0"))
-        except ValueError:
-            size = 0
-        block = data[end + 4 : end + 4 + size]
+        size = headers.get("content-length", "")
+        if not (size.isascii() and size.isdigit() and len(size) < 16):
+            continue
+        block = reader.take(int(size))
+        if block is None:
+            return
         yield {"headers": headers, "block": block}
-        at = end + 4 + size
 
 
 def format_record(headers: dict[str, str], block: bytes) -> bytes:
@@ -66,7 +143,10 @@ def read_warc(files: DataFrame, content_col: str = "content") -> DataFrame:
     """``binaryFile`` rows -> ``(record_id, type, url, ts, status, headers, body)``.
 
     ``headers`` are the HTTP header lines, ``body`` what follows them; ``ts`` is
-    in seconds.  Null and malformed contents give no records.
+    in seconds, null if the date has another form.  A status that is not three
+    digits is null.  Null and empty contents, and what is no WARC file, give no
+    records; of a damaged file come the records before the damage.  Equal files
+    are read as often as they come; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,8 +154,8 @@ def read_warc(files: DataFrame, content_col: str = "content") -> DataFrame:
             for value in batch.column(0):
                 if not value.is_valid:
                     continue
-                rows = []
-                for r in parse_records(value.as_py()):
+                rows, held = [], 0
+                for r in parse_records(value.as_buffer()):
                     h, (head, _, body) = r["headers"], r["block"].partition(b"\r\n\r\n")
                     status, _, lines = head.decode("latin-1").partition("\r\n")
                     code = status.split(" ")[1] if status.startswith("HTTP/") and " " in status else ""
@@ -85,11 +165,15 @@ def read_warc(files: DataFrame, content_col: str = "content") -> DataFrame:
                             h.get("warc-type"),
                             h.get("warc-target-uri"),
                             h.get("warc-date"),
-                            int(code) if code.isdigit() else None,
+                            int(code) if code.isascii() and code.isdigit() and len(code) == 3 else None,
                             lines if code else None,
                             body if code else r["block"],
                         )
                     )
+                    held += len(r["block"])
+                    if held > HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                        rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
@@ -164,13 +248,17 @@ def resolve_revisits(records: DataFrame, seconds: int = BUCKET_SECONDS) -> DataF
     (any digest or body of the response) too.
 
     Earlier means a smaller ``ts``; of responses of one time the one with the
-    greatest id is taken.  Rows with a null URL, time or id match nothing.
-    Repeated rows are returned as often as they come.  Full responses are those
-    with status 200.
+    greatest id is taken, of those of one id the one with the greatest
+    validators.  Rows with a null URL, time or id match nothing.  Full responses
+    are those with status 200, revisits those with 304; others, a null status
+    included, take no part.  Rows are told apart though they share an id, and
+    repeated rows are returned as often as they come.  Empty table: no rows.
+    Other columns of ``records`` are not read, whatever their names.
     """
     scratch = Scratch(records.sparkSession, "warc")
     rows = scratch.store(
         records.select(
+            F.monotonically_increasing_id().alias("row"),
             F.col("record_id").cast("long").alias("record_id"),
             canonical_url(F.col("url")).alias("canonical"),
             F.col("ts").cast("long").alias("ts"),
@@ -181,9 +269,9 @@ def resolve_revisits(records: DataFrame, seconds: int = BUCKET_SECONDS) -> DataF
     )
     etag, modified = F.col("h")["etag"], F.col("h")["last-modified"]
     usable = F.expr("canonical is not null and ts is not null and record_id is not null")
-    response = F.struct("ts", F.col("record_id").alias("id"), etag.alias("etag"), modified.alias("modified"))
+    response = F.struct("ts", F.col("record_id").alias("id"), etag.alias("etag"), modified.alias("modified"), "row")
     light = rows.where(usable).select(
-        "record_id",
+        "row",
         "canonical",
         "ts",
         etag.alias("etag"),
@@ -196,26 +284,28 @@ def resolve_revisits(records: DataFrame, seconds: int = BUCKET_SECONDS) -> DataF
         F.coalesce(F.col("modified") == last["modified"], F.lit(False))
     )
     judged = found.select(
-        "record_id",
+        "row",
         F.when(last.isNull(), "no-earlier-response").when(same, "resolved").otherwise("validator-mismatch").alias("outcome"),
         F.when(last.isNotNull() & same, last["id"]).alias("target_id"),
-    ).distinct()
-    revisits = rows.where("status = 304").join(judged, "record_id", "left")
-    full = rows.where("status = 200").select(
-        F.col("record_id").alias("target_id"), F.col("h").alias("stored"), F.col("payload").alias("body")
-    ).dropDuplicates(["target_id"])
-    joined = revisits.drop("payload").join(full, "target_id", "left")
+        F.when(last.isNotNull() & same, last["row"]).alias("target"),
+    )
+    revisits = scratch.store(rows.where("status = 304").select("row", "record_id", "canonical", "h").join(judged, "row", "left"))
+    full = rows.where("status = 200").select(F.col("row").alias("target"), F.col("h").alias("stored"), F.col("payload").alias("body"))
     new = F.map_filter("h", lambda k, v: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter("stored", lambda k, v: ~F.map_contains_key(new, k)), new)
     lines = F.array_join(F.array_sort(F.transform(F.map_entries(merged), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "\n")
-    return joined.select(
+    resolved = revisits.where("target is not null").join(full, "target")
+    resolved = resolved.select("record_id", "canonical", "outcome", "target_id", lines.alias("headers"), F.col("body").alias("payload"))
+    # What is not resolved has nothing to look up, and does not meet under a null.
+    rest = revisits.where("target is null").select(
         "record_id",
         "canonical",
         F.coalesce("outcome", F.lit("no-earlier-response")).alias("outcome"),
-        "target_id",
-        lines.alias("headers"),
-        F.col("body").alias("payload"),
+        F.lit(None).cast("long").alias("target_id"),
+        F.lit(None).cast("string").alias("headers"),
+        F.lit(None).cast(rows.schema["payload"].dataType).alias("payload"),
     )
+    return resolved.unionByName(rest)
 
 
 def captures_of_pages(pages: DataFrame) -> DataFrame:

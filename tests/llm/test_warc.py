@@ -1,4 +1,5 @@
 import gzip
+import itertools
 
 from prosegrid.llm import warc as W
 
@@ -15,6 +16,57 @@ def test_records(spark):
     assert [x["ts"] for x in rows if x["type"] == "revisit"] == [None]
 
 
+def record(i, block=b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody"):
+    return W.format_record({"WARC-Type": "response", "WARC-Record-ID": f"<urn:{i}>"}, block)
+
+
+def ids(data):
+    return [r["headers"].get("warc-record-id") for r in itertools.islice(W.parse_records(data), 1000)]
+
+
+def test_damaged_files():
+    a, b, c = record(1), record(2), record(3)
+    for bad in (b"-5", b"-100000", b"x", b"", b"1e3", b"9" * 40, "٣".encode()):
+        head = b"WARC/1.1\r\nWARC-Record-ID: <urn:bad>\r\nContent-Length: " + bad + b"\r\n\r\n"
+        assert ids(a + head + b + c) == ["<urn:1>", "<urn:2>", "<urn:3>"]
+    assert ids(a + b[:-20] + b"") == ["<urn:1>"] and ids(a + b"WARC/1.1\r\nno end") == ["<urn:1>"] and ids(b"WARC/" * 50) == []
+    whole = gzip.compress(a) + gzip.compress(b) + gzip.compress(c)
+    assert ids(whole) == ["<urn:1>", "<urn:2>", "<urn:3>"] and ids(gzip.compress(a + b + c)) == ids(whole)
+    assert ids(whole[: len(gzip.compress(a)) + 20]) == ["<urn:1>"]
+    hurt = bytearray(whole)
+    hurt[len(gzip.compress(a)) + 15] ^= 0xFF
+    assert ids(bytes(hurt)) == ["<urn:1>"] and ids(b"\x1f\x8b") == [] and ids(whole + b"tail") == ids(whole)
+    long = bytes(range(256)) * 20000
+    for data in (record(9, long) + a, gzip.compress(record(9, long)) + gzip.compress(a)):
+        first, second = W.parse_records(data)
+        assert first["block"] == long and second["headers"]["warc-record-id"] == "<urn:1>"
+
+
+def test_statuses_that_are_no_numbers(spark):
+    lines = [b"HTTP/1.1 99999999999 X", b"HTTP/1.1 20", b"HTTP/1.1", b"HTTP/1.1 404 Not"]
+    data = b"".join(record(i, x + b"\r\n\r\nb") for i, x in enumerate(lines))
+    df = spark.createDataFrame([(bytearray(data), 7), (bytearray(gzip.compress(data)[:-9]), 7)], "content binary, status int")
+    got = W.read_warc(df).collect()
+    assert [r["status"] for r in got[:4]] == [None, None, None, 404] and len(got) >= 4
+    assert W.read_warc(df.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(1, "http://a/", 10, 200, 'etag: "x"', "a1"), (1, "http://b/", 10, 200, 'etag: "y"', "b1"), (2, "http://a/", 20, 304, 'etag: "x"', None)]
+    rows += [(2, "http://b/", 20, 304, 'etag: "z"', None), (2, "http://c/", 20, 304, 'etag: "x"', None), (2, "http://b/", 30, 304, 'etag: "y"', None)]
+    rows += [(2, "http://b/", 30, 304, 'etag: "y"', None), (None, "http://a/", 40, 304, 'etag: "x"', None)]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "record_id long, url string, ts long, status int, headers string, payload string, target string, row int")
+    got = sorted((r["record_id"] or 0, r["canonical"], r["outcome"], r["target_id"] or 0, r["payload"] or "") for r in W.resolve_revisits(df).collect())
+    assert got == [
+        (0, "http://a", "no-earlier-response", 0, ""),
+        (2, "http://a", "resolved", 1, "a1"),
+        (2, "http://b", "resolved", 1, "b1"),
+        (2, "http://b", "resolved", 1, "b1"),
+        (2, "http://b", "validator-mismatch", 0, ""),
+        (2, "http://c", "no-earlier-response", 0, ""),
+    ]
+
+
 def brute(rows):
     out = []
     for r in rows:
