@@ -13,7 +13,8 @@ document that holds it.
    passage around the suffix, whichever documents they are from.
 2. What remains shares its first words, not its context.  One suffix of each
    context is extended to the left and right, into the passages of 50 words
-   around it; these are sorted and neighbours compared again.
+   around it; these are sorted and neighbours compared again.  If an earlier
+   document is found to hold one of them, the others of the context learn it.
 3. The intervals found are merged in each document.
 
 Sorting is by range, so suffixes of one very common passage lie in several
@@ -146,7 +147,10 @@ def _several(doc: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _neighbours(window: int, size: int, held: int) -> Callable:
-    """Sorted suffixes -> marks ``(doc, s, e, first)`` and, with a null ``e``, suffixes to extend."""
+    """Sorted suffixes -> marks ``(doc, s, e, first, at)`` and, with a null ``e``, suffixes to extend.
+
+    ``at`` is where the suffix stands in ``first`` that is extended in place of this one, if one is.
+    """
 
     def judge(cols: list[np.ndarray], cut: bool) -> pa.RecordBatch | None:
         h, context, doc, p, r = cols
@@ -165,6 +169,7 @@ def _neighbours(window: int, size: int, held: int) -> Callable:
         mark = shared_row & (left + r >= size)
         if not (grow.any() or mark.any()):
             return None
+        stands_in = (mixed_row & ~head)[mark]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate((doc[mark], doc[grow]))),
@@ -174,8 +179,12 @@ def _neighbours(window: int, size: int, held: int) -> Callable:
                     mask=np.concatenate((np.zeros(mark.sum(), bool), np.ones(grow.sum(), bool))),
                 ),
                 pa.array(np.concatenate((low_row[mark], doc[grow]))),
+                pa.array(
+                    np.concatenate((np.repeat(p[alone], number)[mark], p[grow])).astype(np.int32),
+                    mask=np.concatenate((~stands_in, np.ones(grow.sum(), bool))),
+                ),
             ],
-            ["doc", "s", "e", "first"],
+            ["doc", "s", "e", "first", "at"],
         )
 
     @lean
@@ -189,7 +198,7 @@ def _neighbours(window: int, size: int, held: int) -> Callable:
 
 
 def _passages(run: int, window: int) -> Callable:
-    """``(doc, text, places)`` -> ``(h, doc, s)``: the passages around these suffixes."""
+    """``(doc, text, places)`` -> ``(h, doc, s, p)``: the passages around these suffixes, which stand at ``p``."""
 
     @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,8 +219,9 @@ def _passages(run: int, window: int) -> Callable:
                         pa.array(k.spans(s, s + k.size).view(np.int64)),
                         pa.array(ids[a:b][doc]),
                         pa.array((s - k.words.lo[doc]).astype(np.int32)),
+                        pa.array((k.least[grown[k.least]] - k.words.lo[doc]).astype(np.int32)),
                     ],
-                    ["h", "doc", "s"],
+                    ["h", "doc", "s", "p"],
                 )
 
     return rows
@@ -220,25 +230,25 @@ def _passages(run: int, window: int) -> Callable:
 def _repeated(held: int) -> Callable:
     """Sorted passages -> kind 0: repeated, with its first document; 1: of a cut group; 2: a summary of one."""
 
-    def out(kind: int, h, doc, s, first) -> pa.RecordBatch:
+    def out(kind: int, h, doc, s, p, first) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(h), kind, np.int32)), *map(pa.array, (h, doc, s, first))],
-            ["kind", "h", "doc", "s", "first"],
+            [pa.array(np.full(len(h), kind, np.int32)), *map(pa.array, (h, doc, s, p, first))],
+            ["kind", "h", "doc", "s", "p", "first"],
         )
 
     @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (h, doc, s), cut in _groups(batches, held):
+        for (h, doc, s, p), cut in _groups(batches, held):
             lo = _starts(h)
             low, several = _several(doc, lo)
             if cut:
-                yield out(1, h, doc, s, doc)
-                yield out(2, h[lo], low, s[lo], np.maximum.reduceat(doc, lo))
+                yield out(1, h, doc, s, p, doc)
+                yield out(2, h[lo], low, s[lo], p[lo], np.maximum.reduceat(doc, lo))
             else:
                 number = np.diff(np.append(lo, len(h)))
                 keep = np.repeat(several, number)
                 if keep.any():
-                    yield out(0, h[keep], doc[keep], s[keep], np.repeat(low, number)[keep])
+                    yield out(0, h[keep], doc[keep], s[keep], p[keep], np.repeat(low, number)[keep])
 
     return rows
 
@@ -329,28 +339,34 @@ def repeated_spans(
     judged = scratch.store(
         kept.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .mapInArrow(_neighbours(window, size, held), "doc long, s int, e int, first long")
+        .mapInArrow(_neighbours(window, size, held), "doc long, s int, e int, first long, at int")
     )
     scratch.drop(kept)
     marks = judged.where("e is not null")
     places = judged.where("e is null").groupBy("doc").agg(F.collect_set("s").alias("places"))
     passages = scratch.store(
-        rows.join(places, "doc").select("doc", "t", "places").mapInArrow(_passages(run, window), "h long, doc long, s int")
+        rows.join(places, "doc").select("doc", "t", "places").mapInArrow(_passages(run, window), "h long, doc long, s int, p int")
     )
     found = scratch.store(
         passages.repartitionByRange("h", "doc", "s")
         .sortWithinPartitions("h", "doc", "s")
-        .mapInArrow(_repeated(held), "kind int, h long, doc long, s int, first long")
+        .mapInArrow(_repeated(held), "kind int, h long, doc long, s int, p int, first long")
     )
     scratch.drop(passages)
     # A few rows for each task; written, so that the join knows its size beforehand and a common passage stays spread.
     across = found.where("kind = 2").groupBy("h").agg(F.min("doc").alias("low"), F.max("first").alias("high"))
     across = scratch.store(across.where("low < high"))
-    cut = found.where("kind = 1").select("h", "doc", "s").join(across, "h")
+    cut = found.where("kind = 1").select("h", "doc", "s", "p").join(across, "h")
     ends = F.col("s") + F.lit(size)
-    marks = marks.unionByName(found.where("kind = 0").select("doc", "s", ends.alias("e"), "first")).unionByName(
-        cut.select("doc", "s", ends.alias("e"), F.col("low").alias("first"))
+    grown = found.where("kind = 0").select("doc", "s", ends.alias("e"), "first", "p").unionByName(
+        cut.select("doc", "s", ends.alias("e"), F.col("low").alias("first"), "p")
     )
+    # Where what was extended has an earlier document, those that it stood for have it too.
+    earlier = grown.where("first < doc").groupBy("doc", "p").agg(F.min("first").alias("m"))
+    earlier = scratch.store(earlier.select(F.col("doc").alias("first"), F.col("p").alias("at"), "m"))
+    told = marks.where("at is not null").join(earlier, ["first", "at"], "left")
+    told = told.select("doc", "s", "e", F.least("first", "m").alias("first"))
+    marks = marks.where("at is null").select("doc", "s", "e", "first").unionByName(told).unionByName(grown.drop("p"))
     return (
         marks.repartition("doc")
         .sortWithinPartitions("doc", "s")

@@ -23,6 +23,21 @@ def brute(rows, size):
     return cover, dup
 
 
+def firsts(rows, spans, size):
+    """For each span, the smallest document with one of its passages."""
+    where, words = defaultdict(set), defaultdict(list)
+    for d, t in rows:
+        w = t.encode().split()
+        if w not in words[d]:
+            words[d].append(w)
+        for i in range(len(w) - size + 1):
+            where[tuple(w[i : i + size])].add(d)
+    return {
+        (r["doc"], r["start"]): min(min(where[tuple(w[i : i + size])]) for w in words[r["doc"]] for i in range(r["start"], r["start"] + r["words"] - size + 1) if len(where[tuple(w[i : i + size])]) > 1)
+        for r in spans
+    }
+
+
 def got(spans):
     cover, dup = defaultdict(set), defaultdict(set)
     for r in spans.collect():
@@ -59,11 +74,33 @@ def test_spans_match_brute_force(spark):
     df = spark.createDataFrame(extra, "doc_id long, text string, h int, cuts string")
     want = brute([(d, t) for d, t in rows], 10)
     for held in (X.HELD, 5):
-        have = got(X.repeated_spans(df, run=5, window=6, held=held))
+        spans = X.repeated_spans(df, run=5, window=6, held=held)
+        whole = [r for r in spans.collect() if r["doc"] != 300]
+        assert {(r["doc"], r["start"]): r["first_doc"] for r in whole} == firsts(rows, whole, 10)
+        have = got(spans)
         assert {k: v for k, v in have[0].items() if v} == {k: v for k, v in want[0].items() if v}
         assert {k: v for k, v in have[1].items() if v} == {k: v for k, v in want[1].items() if v}
 
 
+def test_the_first_document_has_another_context(spark):
+    p = " ".join(f"p{i}" for i in range(50))
+    a, b, x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "abxy")
+    rows = [(1, f"{a} {p} {b}"), (2, f"{x} {p} {y}"), (3, f"{x} {p} {y}"), (4, f"{x} {p} {y}"), (5, f"{y} {p} {a}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for held in (X.HELD, 1):
+        spans = X.repeated_spans(df, held=held).collect()
+        assert {(r["doc"], r["start"]): r["first_doc"] for r in spans} == firsts(rows, spans, 50)
+        assert {r["first_doc"] for r in spans if r["doc"] == 3} == {1}
+
+
+def test_long_texts(spark):
+    words = [f"v{i * i % 7919}w{i}" for i in range(60000)]
+    rows = [(1, " ".join(words)), (2, "head " + " ".join(words[100:59000])), (3, "x" * 3_000_000), (4, "x" * 3_000_000), (5, " " * 1_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = sorted((r["doc"], r["start"], r["words"], r["duplicate_words"], r["first_doc"]) for r in X.repeated_spans(df).collect())
+    assert spans == [(1, 100, 58900, 0, 1), (2, 1, 58900, 58900, 1)]
+
+
 def test_cutting_keeps_every_passage_once(spark):
     rng = np.random.default_rng(4)
     p = " ".join(f"p{i}" for i in range(60))
