@@ -6,29 +6,32 @@ inclusion probability.  The flight phase moves three undecided probabilities
 at a time along the null space of the balancing constraints, tokens and
 documents, until one of them is 0 or 1; that document is decided, the next one
 takes its place, and both totals have not changed.  A block of documents ends
-with at most two undecided ones.  These fly again, all of a source together,
-and at most two documents of each source are left to land.
+with at most two undecided ones, and a few that it kept on the ground, each at
+most half as large as the one before.  These fly again in blocks, until what is
+left of each source is one block; what that leaves, 17 documents at most, is
+the landing problem: all its roundings are tried.
 
 The flight needs three documents at a time, so tasks stream their blocks.
 Sources are cut into blocks by a hash of the id: a source that holds a third
-of all rows is many blocks.
+of all rows is many blocks, in every flight.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosegrid.llm.blocks import lean
 from prosegrid.llm.scratch import Scratch
 
-#: Documents of a source in one block of the first flight, on average.
+#: Documents of a source in one block of a flight, on average.
 BLOCK = 4096
+#: Documents that are kept for the landing.
+LAST = 15
 TINY = 1e-9
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -59,6 +62,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return each.select("source", "place", "source_size", "n", F.coalesce(goal, F.lit(0.0)).alias("target"))
 
 
+def digest_of(text: Column) -> Column:
+    """What tells texts apart where rows share an id; null for a null text."""
+    return F.when(text.isNotNull(), F.xxhash64(text))
+
+
 def _noise(a: int, b: int) -> float:
     """A number in [0, 1) that depends on its arguments only."""
     x = (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF
@@ -116,26 +124,30 @@ class Flight:
 
 
 def land(left: list[tuple[int, int, float]]) -> list[tuple[int, float]]:
-    """The rounding of the last one or two that comes nearest to their tokens, then to their number."""
-    best = min(
-        product((0.0, 1.0), repeat=len(left)),
-        key=lambda c: (
-            abs(sum((x - p) * s for x, (_, s, p) in zip(c, left))),
-            abs(sum(x - p for x, (_, s, p) in zip(c, left))),
-            c,
-        ),
-    )
-    return [(row, x) for x, (row, _, _) in zip(best, left)]
+    """The rounding of the last few that comes nearest to their tokens, then to their number.
+
+    All roundings are tried, so they have to be few (``LAST`` and two).
+    """
+    size, p = (np.array([x[i] for x in left], np.float64) for i in (1, 2))
+    every = (np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1).astype(np.float64)
+    tokens, number = np.abs((every - p) @ size), np.abs((every - p).sum(1))
+    best = every[np.lexsort((np.round(number, 9), np.round(tokens, 6)))[0]]
+    return [(row, float(x)) for x, (row, _, _) in zip(best, left)]
 
 
 def _fly(names: list[str], last: bool):
-    """Streams rows sorted by source (and block, unless ``last``) and replaces their ``p``."""
+    """Streams rows sorted by source (and block, unless ``last``) and size, largest first, and replaces their ``p``.
+
+    A few documents, each at most half as large as the one before, are kept on
+    the ground: with the last two, sums of these sizes come near to anything.
+    """
     group_at = [names.index("place")] + ([] if last else [names.index("block")])
     size_at, p_at, key_at = (names.index(n) for n in ("size", "p", "key"))
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fly, group, schema = Flight(), None, None
+        kept, below = [], np.inf
 
         def emit(done: list) -> pa.RecordBatch:
             rows = [[p if i == p_at else x for i, x in enumerate(row)] for row, _, p in done]
@@ -144,7 +156,9 @@ def _fly(names: list[str], last: bool):
             )
 
         def close() -> list:
+            nonlocal kept, below
             done, left = fly.close()
+            left, kept, below = left + kept, [], np.inf
             if last and left:
                 picked = land([(i, s, p) for i, (_, s, p) in enumerate(left)])
                 left = [[left[i][0], left[i][1], p] for i, p in picked]
@@ -157,7 +171,11 @@ def _fly(names: list[str], last: bool):
                 if mine != group:
                     done += close()
                     group = mine
-                done += fly.push(row, row[size_at], row[p_at], row[key_at])
+                if row[size_at] <= below and len(kept) < LAST:
+                    kept.append([row, row[size_at], row[p_at]])
+                    below = row[size_at] / 2
+                else:
+                    done += fly.push(row, row[size_at], row[p_at], row[key_at])
             if done:
                 yield emit(done)
         done = close()
@@ -176,11 +194,11 @@ def mix(
     most: int = 3,
     block: int = BLOCK,
 ) -> DataFrame:
-    """``(id, source, size, source_size, target, copies)`` for every row.
+    """``(id, source, size, source_size, target, copies, digest)`` for every row.
 
-    ``size`` is the number of words (null: 0) and ``copies`` how often the mix
-    takes the document, 0 to ``most``.  The words taken from a source differ
-    from its target by what rounding the last one or two documents makes.
+    ``size`` is the number of words (null: 0), ``digest`` names the text, and
+    ``copies`` is how often the mix takes the document, 0 to ``most``.  The words taken from a source differ
+    from its target by what landing the last few documents makes.
 
     Nulls: a null source is a source of its own, a null text has size 0, a null
     id is hashed like any other value.  Sources without words have target 0.
@@ -194,6 +212,7 @@ def mix(
             F.col(id_col).cast("long").alias("id"),
             F.col(source_col).alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            digest_of(F.col(text_col)).alias("digest"),
         )
     )
     goal = scratch.store(targets(rows.select("source", "size"), weights, most))
@@ -205,39 +224,52 @@ def mix(
         .withColumn("whole", F.floor(wanted).cast("int"))
         .withColumn("p", wanted - F.floor(wanted))
         .withColumn("key", key)
-        .withColumn("block", F.pmod(key, F.ceil(F.col("n") / block)).cast("int"))
-        .select("id", "source", "size", "place", "source_size", "target", "whole", "p", "key", "block")
+        .withColumn("block", F.lit(0))
+        .select("id", "source", "size", "place", "source_size", "target", "whole", "p", "key", "block", "n", "digest")
     )
     open_ = (F.col("p") > TINY) & (F.col("p") < 1 - TINY)
-    first = scratch.store(
-        base.where(open_)
-        .repartition("place", "block")
-        .sortWithinPartitions("place", "block", "key", "id", "size")
-        .mapInArrow(_fly(base.columns, False), base.schema)
-    )
-    second = (
-        first.where(open_)
-        .repartition("place")
-        .sortWithinPartitions("place", "key", "id", "size")
-        .mapInArrow(_fly(base.columns, True), base.schema)
-    )
-    decided = base.where(~open_).unionByName(first.where(~open_)).unionByName(second)
+    order = [F.desc("size"), "key", "id", "digest"]
+    decided, now, turn = base.where(~open_), base.where(open_), 0
+    largest = goal.agg(F.max("n")).first()[0] or 0
+    while largest > block:
+        dealt = now.withColumn("block", F.pmod(F.xxhash64("key", F.lit(turn)), F.ceil(F.col("n") / block)).cast("int"))
+        dealt = dealt.repartition("place", "block").sortWithinPartitions("place", "block", *order)
+        flown = scratch.store(dealt.mapInArrow(_fly(base.columns, False), base.schema))
+        decided = decided.unionByName(flown.where(~open_))
+        left = flown.where(open_)
+        number = scratch.store(left.groupBy("place").agg(F.count(F.lit(1)).alias("n")))  # one row for each source
+        now = left.drop("n").join(F.broadcast(number), "place").select(*base.columns)
+        fewer = number.agg(F.max("n")).first()[0] or 0
+        if fewer >= largest:
+            break
+        largest, turn = fewer, turn + 1
+    last = now.repartition("place").sortWithinPartitions("place", *order)
+    decided = decided.unionByName(last.mapInArrow(_fly(base.columns, True), base.schema))
     return decided.select(
-        "id", "source", "size", "source_size", "target", (F.col("whole") + F.round("p").cast("int")).alias("copies")
+        "id", "source", "size", "source_size", "target", (F.col("whole") + F.round("p").cast("int")).alias("copies"), "digest"
     )
 
 
-def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` as the mix takes them, repeated by their copies; columns as they are.
 
-    Rows that share an id are all taken equally often, to the nearest number.
+    Rows that agree in id, text and source share their copies as evenly as
+    whole numbers allow, so as many words are taken as ``mixed`` says.
     """
     names = docs.columns
-    often = mixed.groupBy("id").agg(F.round(F.avg("copies")).cast("int").alias("often")).where("often > 0")
+    same = ["id", "source", "digest"]
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    joined = plain.join(often, F.col(f"c{names.index(id_col)}").cast("long").eqNullSafe(F.col("id")))
+    at = {n: F.col(f"c{names.index(c)}") for n, c in (("id", id_col), ("source", source_col), ("text", text_col))}
+    keyed = plain.withColumn("u", at["id"].cast("long")).withColumn("v", at["source"]).withColumn("w", digest_of(at["text"]))
+    often = mixed.groupBy(*same).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 0")
+    meet = F.col("u").eqNullSafe(F.col("id")) & F.col("v").eqNullSafe(F.col("source")) & F.col("w").eqNullSafe(F.col("digest"))
+    joined = keyed.join(often, meet).select(*plain.columns, "u", "v", "w", "copies", "n")
+    order = Window.partitionBy("u", "v", "w").orderBy(F.lit(0))
+    several = joined.where("n > 1").withColumn("k", F.row_number().over(order))
+    several = several.withColumn("copies", F.expr("(k * copies) div n - ((k - 1) * copies) div n")).drop("k")
+    out = joined.where("n = 1").unionByName(several).where("copies > 0")
     return (
-        joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("often"))))
+        out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
         .select(*plain.columns)
         .toDF(*names)
     )

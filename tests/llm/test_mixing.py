@@ -1,7 +1,9 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from prosegrid.llm import mixing as M
 
@@ -75,11 +77,47 @@ def test_mix(spark):
         goal[r["source"]] = r["target"]
     want = brute_targets(dict(sizes))
     for s in sizes:
-        assert abs(goal[s] - want[s]) < 1e-6 and abs(taken[s] - goal[s]) <= 120
+        assert abs(goal[s] - want[s]) < 1e-6 and abs(taken[s] - goal[s]) <= 3
     again = M.mix(df.repartition(7), block=64).collect()
     assert sorted(map(repr, out)) == sorted(map(repr, again))
     mixed = M.mix(df)
     kept = M.take(df, mixed)
     assert kept.columns == df.columns
-    assert kept.count() == sum(r["often"] for r in mixed.groupBy("id").agg({"copies": "avg", "id": "count"}).selectExpr("cast(round(`avg(copies)`) as int) * case when id is null then 1 else `count(id)` end as often").collect())
-    assert M.mix(df.limit(0)).count() == 0
+    assert kept.count() == sum(r["copies"] for r in mixed.collect())
+    assert M.mix(df.limit(0)).count() == 0 and M.take(df.limit(0), M.mix(df.limit(0))).count() == 0
+
+
+def test_rows_that_share_an_id_are_taken_one_by_one(spark):
+    rows = [(None, f"{'w ' * (i % 40)}t{i}", "hot" if i % 3 else "b", i) for i in range(900)]
+    rows += [(5, "one of many", "a", 1)] * 60 + [(5, "another text", "a", 2)] * 30 + [(6, None, None, 3)] * 20 + [(6, "x" * 400000 + " y", None, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
+    out = M.mix(df, block=32).collect()
+    taken, goal = defaultdict(int), {}
+    for r in out:
+        taken[r["source"]] += r["copies"] * r["size"]
+        goal[r["source"]] = r["target"]
+    assert all(abs(taken[s] - goal[s]) <= 3 for s in goal)
+    mixed = M.mix(df, block=32)
+    number = Counter((r["id"], r["source"], r["digest"]) for r in mixed.collect() for _ in range(r["copies"]))
+    kept = M.take(df, mixed).withColumn("digest", M.digest_of(F.col("text"))).collect()
+    assert Counter((r["doc_id"], r["source"], r["digest"]) for r in kept) == number
+    assert max(Counter((r["doc_id"], r["text"], r["copies"]) for r in kept if r["doc_id"] is None).values(), default=0) <= 3
+
+
+def test_sizes_and_targets_as_sql_says(spark):
+    sql = """
+      WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+        w AS (SELECT source, sum(size) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s GROUP BY source)
+      SELECT s.doc_id, s.source, size, CAST(source_size AS BIGINT) AS source_size, weight FROM s JOIN w ON s.source IS NOT DISTINCT FROM w.source"""
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    want = con.execute(sql).fetchall()
+    out = M.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    assert sorted((r["id"], r["size"], r["source_size"]) for r in out) == sorted((d, n, whole) for d, _, n, whole, _ in want)
+    sizes = {s: whole for _, s, _, whole, _ in want}
+    goal = brute_targets(sizes)
+    taken = defaultdict(int)
+    for r in out:
+        taken[r["source"]] += r["copies"] * r["size"]
+        assert abs(r["target"] - goal[r["source"]]) < 1e-6
+    assert all(abs(taken[s] - goal[s]) <= 0.02 * goal[s] for s in goal)
