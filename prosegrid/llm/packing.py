@@ -31,8 +31,9 @@ SEGMENTS = 256
 #: Pieces that a task packs at a time.
 WAITING = 2048
 END_ID = 0
-_SLOTS = 1 << 21
-_MOST = 1 << 21
+_SLOTS = 1 << 20
+#: Words that an encoder keeps before it starts anew; a worker holds it from task to task.
+_MOST = 1 << 18
 
 
 class Encoder:
@@ -150,7 +151,7 @@ class Encoder:
         up, down = powers(len(points) + 1)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], dtype=np.uint64)))
         keys = mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64))
-        slot = (keys >> np.uint64(43)).astype(np.int64)
+        slot = (keys >> np.uint64(44)).astype(np.int64)
         number = self.words[slot].astype(np.int64)
         miss = np.flatnonzero(self.keys[slot] != keys)
         if len(miss):
