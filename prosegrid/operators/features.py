@@ -1,16 +1,41 @@
-"""The 22 features of a window of sentences, and the logistic model, as Catalyst expressions."""
+"""The 22 features of a window of sentences, and the logistic model.
+
+``windowed`` measures all windows of a document, each sentence once, in an
+Arrow function; ``with_features`` measures any column of texts by expressions.
+Both give the same numbers.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosegrid.functions import constants as C
 from prosegrid.functions import tokens as T
+from prosegrid.operators import window_features
 
 NAMES = [name for name, *_ in C.FEATURES]
 
 
+@dataclass(frozen=True)
+class Profile:
+    """A calibrated model: ``(feature, mean, scale, coefficient)`` in the order of ``NAMES``, and its thresholds."""
+
+    features: tuple = C.FEATURES
+    intercept: float = C.INTERCEPT
+    threshold: float = C.THRESHOLD
+    long_word_bound: float = C.LONG_WORD_BOUND
+    lexical_bound: float = C.LEXICAL_BOUND
+    lexical: tuple = C.LEXICAL
+
+
+PROFILE = Profile()
+
+
 def _bare(word: Column) -> Column:
     return F.length(F.regexp_replace(word, "['’]", ""))
 
@@ -92,16 +117,27 @@ def with_features(df: DataFrame, text: str = "window_text") -> DataFrame:
     return df.select(*keep, *(values[name].alias(name) for name in NAMES))
 
 
-def with_likelihood(df: DataFrame) -> DataFrame:
+def contributions(x: Column, profile: Profile = PROFILE) -> list[Column]:
+    """What each feature of an array in the model's order adds to the logit."""
+    return [(x[i] - mean) / scale * weight for i, (_, mean, scale, weight) in enumerate(profile.features)]
+
+
+def logit(parts: list[Column], profile: Profile = PROFILE) -> Column:
+    out = F.lit(profile.intercept)
+    for part in parts:
+        out = out + part
+    return out
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), x))))
+
+
+def with_likelihood(df: DataFrame, profile: Profile = PROFILE) -> DataFrame:
     """Adds each feature's contribution ``c_*``, the logit, summed in the model's order, and the probability."""
-    parts = {f"c_{name}": (F.col(name) - mean) / scale * weight for name, mean, scale, weight in C.FEATURES}
-    df = df.withColumns(parts)
-    logit = F.lit(C.INTERCEPT)
-    for name in parts:
-        logit = logit + F.col(name)
-    df = df.withColumn("logit", logit)
-    clamped = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("logit")))
-    return df.withColumn("probability", 1 / (1 + F.exp(-clamped)))
+    parts = {f"c_{name}": (F.col(name) - mean) / scale * weight for name, mean, scale, weight in profile.features}
+    df = df.withColumns(parts).withColumn("logit", logit([F.col(p) for p in parts], profile))
+    return df.withColumn("probability", sigmoid(F.col("logit")))
 
 
 def characteristics(df: DataFrame, text: str = "text") -> DataFrame:
@@ -119,9 +155,29 @@ def characteristics(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def statistical_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, start, end, window_text)``: windows over the sentences of the raw text."""
-    found = docs.select(F.col(id_col).alias("doc_id"), T.sentences(F.coalesce(F.col(text_col), F.lit(""))).alias("s"))
-    return (
-        found.withColumn("r", F.explode(T.window_ranges(F.size("s"))))
-        .select("doc_id", "r.start", "r.end", F.array_join(F.slice("s", F.col("r.start") + 1, F.col("r.end") - F.col("r.start")), " ").alias("window_text"))
-    )
+    """``(doc_id, start, end)``: windows over the sentences of the raw text."""
+    n = F.size(T.sentences(F.coalesce(F.col(text_col), F.lit(""))))
+    found = docs.select(F.col(id_col).alias("doc_id"), F.explode(T.window_ranges(n)).alias("r"))
+    return found.select("doc_id", "r.start", "r.end")
+
+
+def windowed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, start, end, features...)`` of the same windows, sentences tokenised once; a null text is an empty one."""
+    names = ["doc_id", "start", "end", *NAMES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            for at in range(0, batch.num_rows, 256):
+                whose, rows = [], []
+                for i, text in enumerate(texts.slice(at, 256).to_pylist(), at):
+                    found = window_features.of_sentences(window_features.split(text or ""))
+                    whose += [i] * len(found)
+                    rows += [(a, b, *x) for a, b, x in found]
+                if rows:
+                    first, last, *x = zip(*rows)
+                    columns = [pa.array(first, pa.int32()), pa.array(last, pa.int32()), *(pa.array(c, pa.float64()) for c in x)]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(whose)), *columns], names)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    return rows.mapInArrow(run, "doc_id long, start int, end int, " + ", ".join(f"{n} double" for n in NAMES))

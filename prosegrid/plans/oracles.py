@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from prosegrid.functions import constants as C
 from prosegrid.functions import phrases as P
+from prosegrid.plans import sql_values as V
 
 
 def _q(pattern: str) -> str:
@@ -33,9 +34,9 @@ WINDOWS = f"""{SENTENCES},
 
 
 def _features() -> str:
-    word, stop = _q(C.WORD), _words(C.STOPWORDS)
+    word, stop = _q(C.WORD), _words(V.STOPWORDS)
     many = lambda test, of="lw": f"len(list_filter({of}, lambda x: {test}))"
-    stock = " + ".join(f"len(regexp_extract_all(t, {_q('(?i)' + p)}))" for p in C.STOCK)
+    stock = " + ".join(f"len(regexp_extract_all(t, {_q('(?i)' + p)}))" for p in V.STOCK)
     count = lambda p: f"len(regexp_extract_all(t, {_q(p)}))"
     ratio = lambda a, b: f"CASE WHEN {b} = 0 THEN 0 ELSE ({a}) / ({b})::DOUBLE END"
     values = {
@@ -47,7 +48,7 @@ def _features() -> str:
         "repeated_word_ratio": "CASE WHEN m = 0 THEN 0 ELSE 1 - kinds / m::DOUBLE END",
         "hapax_ratio": ratio("len(map_keys(hist)) - len(list_filter(map_values(hist), lambda x: x > 1))", "kinds"),
         "stopword_ratio": ratio(many(f"x IN {stop}"), "m"),
-        "first_person_ratio": ratio(many(f"x IN {_words(C.FIRST_PERSON)}"), "m"),
+        "first_person_ratio": ratio(many(f"x IN {_words(V.FIRST_PERSON)}"), "m"),
         "contraction_ratio": ratio(many("regexp_matches(x, '[''’]')", "w"), "m"),
         "numeric_token_ratio": ratio(many(r"regexp_matches(x, '^\p{N}')", "w"), "m"),
         "comma_per_sentence": ratio(count(","), "n"),
@@ -62,7 +63,7 @@ def _features() -> str:
         "repeated_opener_ratio": "CASE WHEN len(opens) = 0 THEN 0 ELSE 1 - len(list_distinct(opens)) / len(opens)::DOUBLE END",
         "proper_noun_ratio": ratio(r"list_sum(list_transform(sw, lambda ws: len(list_filter(ws[2:], lambda x: regexp_matches(x, '^\p{Lu}')))))", "m"),
         "passive_construction_ratio": ratio(count(rf"(?i)\b{C.PASSIVE}\b"), "n"),
-        "hedge_ratio": ratio(many(f"x IN {_words(C.HEDGES)}"), "m"),
+        "hedge_ratio": ratio(many(f"x IN {_words(V.HEDGES)}"), "m"),
     }
     return f"""{WINDOWS},
     cut AS (
@@ -83,7 +84,7 @@ def _features() -> str:
 
 
 _FEATURES = _features()
-_LOGIT = " + ".join([str(C.INTERCEPT), *(f"({n} - {m}) / {s} * ({w})" for n, m, s, w in C.FEATURES)])
+_LOGIT = " + ".join([str(V.INTERCEPT), *(f"({n} - {m}) / {s} * ({w})" for n, m, s, w in V.FEATURES)])
 _LIKELIHOOD = f"""{_FEATURES},
     likely AS (SELECT doc_id, start, {_LOGIT} AS logit FROM feat),
     scored AS (
@@ -116,8 +117,8 @@ def _lines() -> str:
         list_filter(words, lambda x: regexp_matches(x, '\\p{{L}}')) AS cased
       FROM marked),
     counted AS (
-      SELECT *, len(list_filter(lw, lambda x: x IN {_words(C.NON_ENGLISH)})) AS other,
-        len(list_filter(lw, lambda x: x IN {_words(C.ENGLISH)})) AS english,
+      SELECT *, len(list_filter(lw, lambda x: x IN {_words(V.NON_ENGLISH)})) AS other,
+        len(list_filter(lw, lambda x: x IN {_words(V.ENGLISH)})) AS english,
         len(list_filter(cased, lambda x: regexp_matches(x, '^\\p{{Lu}}'))) AS titled
       FROM fenced)
     SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(start AS BIGINT) AS start,
@@ -145,7 +146,7 @@ ORACLES = {
         CAST(coalesce(list_sum(list_transform(s, lambda x: length(x))), 0) AS BIGINT) AS chars FROM sent""",
     "window_ranges": f"WITH {WINDOWS} SELECT doc_id, start, stop FROM win",
     "statistical_features": f"WITH {_FEATURES} SELECT doc_id, start, "
-    + ", ".join(f"round({n}, 6) AS {n}" for n, *_ in C.FEATURES)
+    + ", ".join(f"round({n}, 6) AS {n}" for n, *_ in V.FEATURES)
     + " FROM feat",
     "window_likelihood": f"WITH {_LIKELIHOOD} SELECT doc_id, start, logit, probability FROM scored",
     "writing_characteristics": f"""WITH {SENTENCES},
@@ -154,7 +155,7 @@ ORACLES = {
         FROM documents d JOIN sent USING (doc_id)),
       counted AS (
         SELECT doc_id, len(w) AS n, len(s) AS m,
-          len(list_filter(w, lambda x: length(regexp_replace(x, '[''’]', '', 'g')) >= {C.LONG_WORD})) AS long,
+          len(list_filter(w, lambda x: length(regexp_replace(x, '[''’]', '', 'g')) >= {V.LONG_WORD})) AS long,
           len(list_filter(s, lambda x: regexp_matches(x, {_q('(?i)' + C.CITATION)}))) AS cited FROM parts)
       SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE round(long / n::DOUBLE, 6) END AS long_word_ratio,
         CASE WHEN m = 0 THEN 0 ELSE round(cited / m::DOUBLE, 6) END AS citation_sentence_ratio FROM counted""",
@@ -218,8 +219,9 @@ ORACLES = {
 def _signals() -> str:
     """CTEs up to ``sig(doc_id, i, words, signal, impact, marks)``."""
     find = lambda p, of="t", flag="(?i)": f"regexp_extract_all({of}, {_q(flag + p)})"
-    lead = _q("(?i)" + P.TRANSITION)
-    stock = "list_distinct(list_transform(flatten([" + ", ".join(find(p) for p in P.PHRASES) + "]), lambda x: lower(x)))"
+    lead = _q("(?i)" + V.TRANSITION)
+    found = "flatten([" + ", ".join(find(p) for p in V.PHRASES) + "])"
+    first = lambda values: f"list_filter({values}, lambda x, i: list_position(list_transform({values}, lambda y: lower(y)), lower(x)) = i)"
     values = {
         "stock-phrases": ("k >= 1", "least(42, 32 + 6 * (k - 1))", "k"),
         "repetitive-openings": ("opened >= 2", "least(20, 14 + 2 * (opened - 2))", "1"),
@@ -229,21 +231,35 @@ def _signals() -> str:
         "nominalized-language": ("nom >= 2 AND nom / words::DOUBLE >= 0.08::DOUBLE", "least(20, 8 + floor(nom / words::DOUBLE * 50 + 0.5))", "nom"),
         "low-specificity": ("words >= 9 AND abs / words::DOUBLE >= 0.1::DOUBLE AND NOT concrete", "10", "1"),
     }
+    opens = lambda what, n: f"'“' || {what} || '” opens ' || {n} || ' sentences'"
+    says = {
+        "stock-phrases": "array_to_string(stock, ' | ')",
+        "repetitive-openings": opens("array_to_string(o, ' ')", "opened"),
+        "repeated-transitions": opens("said", "turned"),
+        "uniform-sentence-length": "'Sentence lengths vary little across this sample'",
+        "abstract-language": "array_to_string(abstract, ' | ')",
+        "nominalized-language": "array_to_string(nominal, ' | ')",
+        "low-specificity": "'No names, numbers, quotations, or firsthand markers accompany the abstract terms'",
+    }
     each = " UNION ALL ".join(
-        f"SELECT doc_id, i, '{name}' AS signal, CAST({impact} AS BIGINT) AS impact, CAST({marks} AS BIGINT) AS marks FROM framed WHERE {test}"
+        f"SELECT doc_id, i, '{name}' AS signal, CAST({impact} AS BIGINT) AS impact, CAST({marks} AS BIGINT) AS marks, {says[name]} AS evidence FROM framed WHERE {test}"
         for name, (test, impact, marks) in values.items()
     )
     return f"""{SENTENCES},
     one AS (SELECT doc_id, unnest(s) AS t, generate_subscripts(s, 1) - 1 AS i FROM sent),
     draft AS (
-      SELECT doc_id, i, t, regexp_extract_all(t, {_q(C.TOKEN)}) AS w, nullif(lower(regexp_extract(t, {lead}, 1)), '') AS turn,
-        regexp_extract_all(regexp_replace(t, {lead}, ''), {_q(C.TOKEN)})[1:3] AS o, len({stock}) AS k FROM one),
+      SELECT doc_id, i, t, regexp_extract_all(t, {_q(C.TOKEN)}) AS w, regexp_extract(t, {lead}, 1) AS said,
+        regexp_extract_all(regexp_replace(t, {lead}, ''), {_q(C.TOKEN)})[1:3] AS o, {found} AS phrases FROM one),
+    lists AS (
+      SELECT *, nullif(lower(said), '') AS turn, {first("phrases")} AS stock, list_transform(w, lambda x: lower(x)) AS lw FROM draft),
+    terms AS (
+      SELECT *, list_filter(lw, lambda x: x IN {_words(V.ABSTRACT)}) AS a,
+        list_filter(lw, lambda x: length(x) >= 7 AND regexp_matches(x, {_q(V.NOMINAL)})) AS b FROM lists),
     facts AS (
-      SELECT *, len(w) AS words, CASE WHEN len(o) = 3 THEN lower(array_to_string(o, ' ')) END AS opening,
-        len(list_distinct(list_filter(list_transform(w, lambda x: lower(x)), lambda x: x IN {_words(P.ABSTRACT)}))) AS abs,
-        len(list_distinct(list_filter(list_transform(w, lambda x: lower(x)), lambda x: length(x) >= 7 AND regexp_matches(x, {_q(P.NOMINAL)})))) AS nom,
-        regexp_matches(t, {_q(P.CONCRETE)}) OR len(list_filter(w[2:], lambda x: regexp_matches(x, '^\\p{{Lu}}\\p{{Ll}}{{2,}}$'))) > 0 AS concrete
-      FROM draft),
+      SELECT *, len(w) AS words, len(stock) AS k, CASE WHEN len(o) = 3 THEN lower(array_to_string(o, ' ')) END AS opening,
+        {first("a")} AS abstract, {first("b")} AS nominal, len(list_distinct(a)) AS abs, len(list_distinct(b)) AS nom,
+        regexp_matches(t, {_q(V.CONCRETE)}) OR len(list_filter(w[2:], lambda x: regexp_matches(x, '^\\p{{Lu}}\\p{{Ll}}{{2,}}$'))) > 0 AS concrete
+      FROM terms),
     near AS (
       SELECT *, list(words) OVER f AS lens, list(opening) OVER f AS openings, list(turn) OVER f AS turns
       FROM facts WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
@@ -255,7 +271,7 @@ def _signals() -> str:
 
 
 ORACLES |= {
-    "sentence_signals": f"WITH {_signals()} SELECT doc_id, CAST(i AS BIGINT) AS i, signal, impact FROM sig",
+    "sentence_signals": f"WITH {_signals()} SELECT doc_id, CAST(i AS BIGINT) AS i, signal, impact, evidence FROM sig",
     "pattern_intensity": f"""WITH {_signals()},
       total AS (SELECT doc_id, i, sum(impact) AS impact FROM sig GROUP BY ALL),
       scored AS (
@@ -264,8 +280,8 @@ ORACLES |= {
       SELECT doc_id, CAST(floor(sum(p * w)::DOUBLE / sum(w)::DOUBLE + 0.5) AS BIGINT) AS intensity FROM scored GROUP BY doc_id""",
     "top_signals": f"""WITH {_signals()},
       per AS (
-        SELECT doc_id, signal, count(DISTINCT i) AS affected, CAST(sum(impact) AS BIGINT) AS impact FROM sig GROUP BY ALL)
-      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY impact DESC, affected DESC, signal) AS rank, signal, affected, impact
+        SELECT doc_id, signal, count(DISTINCT i) AS affected, CAST(sum(marks) AS BIGINT) AS occurrences, CAST(sum(impact) AS BIGINT) AS impact FROM sig GROUP BY ALL)
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY impact DESC, affected DESC, signal) AS rank, signal, affected, occurrences, impact
       FROM per QUALIFY rank <= 5""",
     "protected_diff": "WITH pairs AS ("
     "SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations), each AS ("
@@ -316,3 +332,65 @@ ORACLES |= {
       SELECT c AS threshold, CAST(humans AS BIGINT) AS humans, CAST(reported AS BIGINT) AS reported FROM r
       WHERE c = (SELECT coalesce(min(c) FILTER (reported <= 0.01 * humans), 1.0) FROM r)""",
 }
+
+
+def _factors() -> str:
+    """CTEs up to ``factor(doc_id, k, feature, value, standardized, contribution)``, means over a document's windows."""
+    means = ", ".join(f"avg({n}) AS {n}" for n, *_ in V.FEATURES)
+    each = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS k, '{n}' AS feature, {n} AS value, ({n} - {m}) / {s} AS standardized, ({n} - {m}) / {s} * ({w}) AS contribution FROM means"
+        for k, (n, m, s, w) in enumerate(V.FEATURES)
+    )
+    return f"{_FEATURES}, means AS (SELECT doc_id, {means} FROM feat GROUP BY doc_id), factor AS ({each})"
+
+
+_LABELLED = f"WITH {_LIKELIHOOD}, w AS (SELECT s.doc_id, s.probability AS p, l.quality = 1 AS human FROM scored s JOIN labels l USING (doc_id))"
+_LEXICAL = ", ".join(f"'{n}'" for n in V.LEXICAL)
+_SPLIT = ORACLES["fnv_split"].replace("WITH h AS (", "", 1)
+
+ORACLES |= {
+    "coaching": f"""WITH {_signals()},
+        per AS (SELECT doc_id, signal, count(DISTINCT i) AS affected, sum(impact) AS impact FROM sig GROUP BY ALL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY impact DESC, affected DESC, signal) AS rank FROM per)
+      SELECT doc_id, rank, signal, CASE rank WHEN 1 THEN 'high' WHEN 4 THEN 'low' ELSE 'medium' END AS priority,
+        CASE signal WHEN 'stock-phrases' THEN 'Lead with the actual claim' WHEN 'repetitive-openings' THEN 'Let each sentence follow its idea'
+          WHEN 'uniform-sentence-length' THEN 'Vary rhythm to match emphasis' WHEN 'repeated-transitions' THEN 'Make the relationship explicit'
+          WHEN 'abstract-language' THEN 'Ground concepts in observable evidence' WHEN 'nominalized-language' THEN 'Turn hidden actions back into verbs'
+          WHEN 'low-specificity' THEN 'Add details only this report could contain' END AS title
+      FROM ranked WHERE rank <= 4""",
+    "document_factors": f"""WITH {_factors()}
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY abs(contribution) DESC, k) AS rank, feature, round(value, 6) AS value,
+        round(standardized, 6) AS standardized, round(contribution, 6) AS contribution,
+        CASE WHEN contribution > 0 THEN 'raises' WHEN contribution < 0 THEN 'lowers' ELSE 'neutral' END AS direction FROM factor""",
+    "document_rates": f"""{_LABELLED},
+        d AS (SELECT doc_id, human, count(*) FILTER (p >= 0.5) >= 0.2 * count(*) AS hit FROM w GROUP BY ALL)
+      SELECT count(*) FILTER (human) AS humans, round(coalesce(avg(hit::INT) FILTER (human), 0), 6) AS human_rate,
+        count(*) FILTER (NOT human) AS machines, round(coalesce(avg(hit::INT) FILTER (NOT human), 0), 6) AS recall FROM d""",
+    "window_metrics": f"""{_LABELLED},
+        r AS (SELECT coalesce(avg((p >= 0.5)::INT) FILTER (NOT human), 0) AS tp, coalesce(avg((p < 0.5)::INT) FILTER (human), 0) AS tn FROM w)
+      SELECT round(tp, 6) AS true_positive_rate, round(tn, 6) AS true_negative_rate, round((tp + tn) / 2, 6) AS balanced_accuracy FROM r""",
+    "domain_bounds": f"""WITH {_factors()},
+        share AS (
+          SELECT doc_id, round(CASE WHEN sum(greatest(0, contribution)) = 0 THEN 0
+            ELSE sum(CASE WHEN feature IN ({_LEXICAL}) THEN greatest(0, contribution) ELSE 0 END) / sum(greatest(0, contribution)) END, 6) AS lexical_share
+          FROM factor GROUP BY doc_id),
+        long AS ({ORACLES["writing_characteristics"].replace(SENTENCES, "", 1).replace("WITH ,", "WITH", 1)}),
+        h AS ({_SPLIT.split("SELECT doc_id, bucket, CASE")[0].strip().rstrip(")")}),
+        per AS (
+          SELECT s.doc_id, lexical_share, long_word_ratio, CASE WHEN bucket < 14 THEN 'train' WHEN bucket < 17 THEN 'validation' ELSE 'test' END AS split
+          FROM share s JOIN long USING (doc_id) JOIN h USING (doc_id)),
+        t AS (SELECT list_sort(list(long_word_ratio)) AS a, list_sort(list(lexical_share)) AS b FROM per WHERE split = 'train'),
+        bound AS (SELECT a[1 + CAST(floor((len(a) - 1) * 0.9::DOUBLE) AS INT)] AS x, b[1 + CAST(floor((len(b) - 1) * 0.9::DOUBLE) AS INT)] AS y FROM t)
+      SELECT round(max(x), 6) AS long_word_bound, round(max(y), 6) AS lexical_bound,
+        round(coalesce(avg((long_word_ratio > x AND lexical_share > y)::INT) FILTER (split = 'train'), 0), 6) AS train_unsupported,
+        round(coalesce(avg((long_word_ratio > x AND lexical_share > y)::INT) FILTER (split = 'validation'), 0), 6) AS validation_unsupported
+      FROM per, bound""",
+    "standardized_features": f"WITH {_FEATURES} "
+    + " UNION ALL ".join(f"SELECT '{n}' AS feature, round(avg({n}), 6) AS mean, round(greatest(0.000001, stddev_pop({n})), 6) AS scale FROM feat" for n, *_ in V.FEATURES),
+    "page_lookup": f"""WITH spans AS ({ORACLES["page_spans"]}),
+        place AS (SELECT conv_id, unnest([0, 100, 250, 100000]) AS place FROM (SELECT DISTINCT conv_id FROM conversations))
+      SELECT p.conv_id, CAST(place AS BIGINT) AS place, s.turn FROM place p LEFT JOIN spans s ON s.conv_id = p.conv_id AND place >= s.start AND place < s.stop""",
+    "revision_requests": f"""SELECT conv_id, turn, CAST(CASE WHEN turn % 7 = 5 THEN 200 WHEN turn % 7 = 3 THEN 405 WHEN conv_id % 11 = 0 THEN 403
+        WHEN coalesce(length(text) * 40, 0) > 12000 THEN 413
+        WHEN text IS NULL OR length({TRIM.format('text')}) < 20 OR length(text) > 8000 OR role <> 'user' THEN 400 ELSE 200 END AS BIGINT) AS status FROM conversations""",
+}

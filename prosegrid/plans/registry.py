@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from prosegrid.functions import constants as C
 from prosegrid.functions import tokens as T
-from prosegrid.operators import calibration, comparison, coverage, documents, features, revision, signals
-from prosegrid.operators.segments import segment
+from prosegrid.operators import calibration, comparison, coverage, documents, features, report, revision, signals
+from prosegrid.operators.segments import lines, segment
 from prosegrid.plans.oracles import ORACLES  # noqa: F401
 from prosegrid.session import ship
 from prosegrid.sources import pages
-from prosegrid.streaming import limits
+from prosegrid.streaming import limits, requests
 
 
 def _docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -42,12 +42,12 @@ def window_ranges(spark, sf_dir):
 
 
 def statistical_features(spark, sf_dir):
-    found = features.with_features(features.statistical_windows(_docs(spark, sf_dir)))
+    found = features.windowed(_docs(spark, sf_dir))
     return found.select("doc_id", F.col("start").cast("long").alias("start"), *(F.round(n, 6).alias(n) for n in features.NAMES))
 
 
 def window_likelihood(spark, sf_dir):
-    found = features.with_likelihood(features.with_features(features.statistical_windows(_docs(spark, sf_dir))))
+    found = features.with_likelihood(features.windowed(_docs(spark, sf_dir)))
     return found.select(
         "doc_id", F.col("start").cast("long").alias("start"), F.round("logit", 6).alias("logit"), F.round("probability", 6).alias("probability")
     )
@@ -66,7 +66,7 @@ def fnv_split(spark, sf_dir):
 
 
 def line_assessment(spark, sf_dir):
-    found = segment(_docs(spark, sf_dir)).select("doc_id", F.posexplode("lines").alias("line_no", "l"))
+    found = lines(_docs(spark, sf_dir)).select("doc_id", F.posexplode("lines").alias("line_no", "l"))
     return found.select(
         "doc_id",
         F.col("line_no").cast("long").alias("line_no"),
@@ -82,7 +82,7 @@ def sentence_split(spark, sf_dir):
 
 
 def sentence_scores(spark, sf_dir):
-    _, scored = coverage.score_sentences(segment(_docs(spark, sf_dir)))
+    scored = coverage.score_sentences(_docs(spark, sf_dir))
     return scored.select("doc_id", "i", "start", F.col("end").alias("stop"), "words", F.round("probability", 6).alias("probability"), "detected")
 
 
@@ -121,8 +121,7 @@ def rate_limiter(spark, sf_dir):
 
 def ttl_latest(spark, sf_dir):
     events = _docs(spark, sf_dir, "events")
-    now = events.agg(F.max("ts")).first()[0]
-    return limits.latest_unexpired(events, "user_id", "ts", "event_id", now).select(F.col("owner").alias("user_id"), F.col("key").alias("event_id"))
+    return limits.latest_unexpired(events, "user_id", "ts", "event_id").select(F.col("owner").alias("user_id"), F.col("key").alias("event_id"))
 
 
 def _sentences(spark, sf_dir):
@@ -132,7 +131,8 @@ def _sentences(spark, sf_dir):
 
 def sentence_signals(spark, sf_dir):
     found = signals.with_signals(_sentences(spark, sf_dir)).select("doc_id", F.col("i").cast("long").alias("i"), F.explode("signals").alias("s"))
-    return found.select("doc_id", "i", F.col("s.id").alias("signal"), F.col("s.impact").alias("impact"))
+    evidence = F.array_join("s.evidence", " | ")
+    return found.select("doc_id", "i", F.col("s.id").alias("signal"), F.col("s.impact").alias("impact"), evidence.alias("evidence"))
 
 
 def pattern_intensity(spark, sf_dir):
@@ -141,19 +141,106 @@ def pattern_intensity(spark, sf_dir):
 
 def top_signals(spark, sf_dir):
     top = signals.top_signals(signals.with_signals(_sentences(spark, sf_dir)))
-    return top.select("doc_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("signal"), "affected", "impact")
+    return top.select("doc_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("signal"), "affected", "occurrences", "impact")
+
+
+def coaching(spark, sf_dir):
+    found = signals.coaching(signals.top_signals(signals.with_signals(_sentences(spark, sf_dir))))
+    return found.select("doc_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("signal"), "priority", "title")
+
+
+def document_factors(spark, sf_dir):
+    means = features.windowed(_docs(spark, sf_dir)).groupBy("doc_id").agg(F.array(*(F.avg(n) for n in features.NAMES)).alias("mean"))
+    found = signals.document_factors(means, ["doc_id"])
+    number = lambda c: F.round(c, 6).alias(c)
+    return found.select("doc_id", F.col("rank").cast("long").alias("rank"), "feature", number("value"), number("standardized"), number("contribution"), "direction")
+
+
+def audit_notes(spark, sf_dir):
+    found = report.notes(coverage.audit(_docs(spark, sf_dir)))
+    return found.select("doc_id", "status", "label", "summary", "confidence_label", "confidence_reason", "domain_label", "domain_reason", "long_words", "cited_sentences")
+
+
+def passage_reviews(spark, sf_dir):
+    found = report.passage_reviews(coverage.stored(_docs(spark, sf_dir)))
+    return found.select("doc_id", "passage", "start", "end", "sentences", "words", "score", "band", "label", "text", F.col("signals.id").alias("signals"), F.col("factors.feature").alias("factors"))
+
+
+def report_blocks(spark, sf_dir):
+    audited = coverage.stored(_docs(spark, sf_dir))
+    reviews = report.passage_reviews(audited)
+    intensity = signals.pattern_intensity(report.scored_sentences(audited), key="row")
+    head = report.summary_rows(audited, intensity, reviews).select(
+        "doc_id", F.lit(0).cast("long").alias("passage"), F.col("line").alias("block"), F.lit("summary").alias("kind"), F.concat_ws(": ", "name", "value").alias("text")
+    )
+    body = report.review_blocks(reviews).select("doc_id", F.col("passage").cast("long").alias("passage"), "block", "kind", "text")
+    return head.unionByName(body)
+
+
+def revision_plan(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    audited = coverage.stored(docs)
+    shown = report.reportable(audited)
+    paragraph = F.sum(F.col("paragraph_before").cast("int")).over(Window.partitionBy("row").orderBy("i"))
+    place = coverage.sentences(shown).withColumn("paragraph", paragraph).select("row", "i", "paragraph")
+    targets = report.scored_sentences(shown).join(place, ["row", "i"])
+    edits = revision.plan_edits(report.passage_members(audited), targets, "comprehensive")
+    found = revision.plan_status(audited, report.passage_reviews(audited), edits, docs.select("doc_id", "text"))
+    return found.select("doc_id", "status", "passages", "edits", "guidance")
+
+
+def _labelled_windows(spark, sf_dir):
+    found = window_likelihood(spark, sf_dir).join(_docs(spark, sf_dir, "labels"), "doc_id")
+    return found.withColumn("human", F.col("quality") == 1)
+
+
+def document_rates(spark, sf_dir):
+    each = _labelled_windows(spark, sf_dir).withColumn("words", F.lit(1))
+    found = calibration.document_rates(each, 0.5)
+    return found.select("humans", F.round("human_rate", 6).alias("human_rate"), "machines", F.round("recall", 6).alias("recall"))
+
+
+def window_metrics(spark, sf_dir):
+    found = calibration.balanced_accuracy(_labelled_windows(spark, sf_dir), "human", "probability", 0.5)
+    return found.select(*(F.round(c, 6).alias(c) for c in found.columns))
+
+
+def domain_bounds(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    means = features.windowed(docs).groupBy("doc_id").agg(F.array(*(F.avg(n) for n in features.NAMES)).alias("mean"))
+    parts = features.contributions(F.col("mean"))
+    positive = lambda names: sum((F.greatest(F.lit(0.0), c) for c, name in zip(parts, features.NAMES) if name in names), F.lit(0.0))
+    share = means.select("doc_id", F.round(T.ratio(positive(C.LEXICAL), positive(features.NAMES)), 6).alias("lexical_share"))
+    per = writing_characteristics(spark, sf_dir).join(share, "doc_id").join(fnv_split(spark, sf_dir), "doc_id")
+    found = calibration.domain_bounds(per, 0.9)
+    return found.select(*(F.round(c, 6).alias(c) for c in found.columns))
+
+
+def standardized_features(spark, sf_dir):
+    found = calibration.standardize(features.windowed(_docs(spark, sf_dir)).withColumn("w", F.lit(1.0)), features.NAMES, "w")
+    return found.select("feature", F.round("mean", 6).alias("mean"), F.round("scale", 6).alias("scale"))
+
+
+def page_lookup(spark, sf_dir):
+    turns = _docs(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("page"), "text")
+    places = turns.select("book").distinct().withColumn("start", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 100, 250, 100000)))))
+    found = pages.page_of(places, pages.spans(turns))
+    return found.select(F.col("book").alias("conv_id"), F.col("start").alias("place"), F.col("page").alias("turn"))
+
+
+def revision_requests(spark, sf_dir):
+    asked = _docs(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.when(F.col("turn") % 7 == 3, "PUT").when(F.col("turn") % 7 == 5, "GET").otherwise("POST").alias("method"),
+        F.lit("a.example").alias("host"), F.when(F.col("conv_id") % 11 == 0, "b.example").otherwise("a.example").alias("origin_host"),
+        (F.length("text") * 40).alias("body_bytes"), F.col("text").alias("passage"), F.when(F.col("role") == "user", "clarify").otherwise("shorten").alias("intent"),
+    )
+    found = requests.status_of(asked, ("clarify", "strengthen-reasoning"), F.lit(True))
+    return found.select("conv_id", "turn", F.col("status").cast("long").alias("status"))
 
 
 def flagged_passages(spark, sf_dir):
-    segments = segment(_docs(spark, sf_dir))
-    _, scored = coverage.score_sentences(segments)
-    each = segments.join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id").select("doc_id", "text", F.posexplode("sentences").alias("i", "s"))
-    before = F.lag("s.end").over(Window.partitionBy("doc_id").orderBy("i"))
-    each = each.select("doc_id", "text", "i", F.col("s.start").alias("start"), before.alias("before"))
-    gap = F.expr("substring(text, before + 1, start - before)")
-    each = each.select("doc_id", "i", "start", gap.rlike(r"\n[\t ]*\n").alias("blank_before"))
-    hit = scored.drop("i").withColumn("score", signals.clamp_score(F.col("probability") * 100)).join(each, ["doc_id", "start"])
-    return signals.passages(hit)
+    found = signals.passages(coverage.sentences(coverage.stored(_docs(spark, sf_dir))))
+    return found.select("doc_id", "passage", "start", "end", "sentences", "words", "score", "band")
 
 
 def revise_text(spark, sf_dir):
@@ -172,10 +259,7 @@ def text_statistics(spark, sf_dir):
 
 
 def prose_statistics(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    segments = segment(docs)
-    _, scored = coverage.score_sentences(segments)
-    return documents.prose_statistics(docs, segments, scored)
+    return documents.prose_statistics(coverage.audit(_docs(spark, sf_dir)))
 
 
 def report_excerpt(spark, sf_dir):
@@ -231,6 +315,18 @@ QUERIES = {
         highlighted_runs,
         page_spans,
         threshold_choice,
+        coaching,
+        document_factors,
+        audit_notes,
+        passage_reviews,
+        report_blocks,
+        revision_plan,
+        document_rates,
+        window_metrics,
+        domain_bounds,
+        standardized_features,
+        page_lookup,
+        revision_requests,
     )
 }
 FLAGSHIP = "coverage_status"

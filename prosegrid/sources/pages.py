@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from prosegrid.functions import constants as C
 from prosegrid.functions import tokens as T
+from prosegrid.sources.files import MOST_CHARACTERS, MOST_PAGES
 
 BAND = 0.12
 MOST_WORDS = 20
@@ -21,24 +25,101 @@ def lines_of_pages(docs: DataFrame, book: str, page: str, text: str, height: flo
     return each.select("book", "page", "line_no", "line", y.alias("y"), F.lit(height).alias("height"))
 
 
+#: Fixed value: what a line with nothing but a page number looks like.
+NUMBER = r"(?i)^\s*(?:page\s+)?(?:\d{1,4}|[ivxlcdm]+)(?:\s*(?:of|/|-|–)\s*(?:\d{1,4}|[ivxlcdm]+))?\s*$"
+
+
+def _compatible(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode's compatibility form NFKC of a column; texts of ASCII alone are in that form."""
+    compatible = F.pandas_udf(_compatible, StringType())
+    plain = text.isNull() | ~text.rlike(r"[^\x00-\x7F]")
+    return F.when(plain, text).otherwise(compatible(F.when(~plain, text)))
+
+
 def with_artifact_key(lines: DataFrame) -> DataFrame:
-    """Adds ``key``: band and normalised text of short boundary lines that do not end like a sentence, else null."""
-    band = F.when(F.col("y") >= (1 - BAND) * F.col("height"), "top").when(F.col("y") <= BAND * F.col("height"), "bottom")
-    plain = F.lower(T.trimmed(F.regexp_replace("line", r"\s+", " ")))
-    number = T.count(plain, C.TOKEN)
-    good = (number > 0) & (number <= MOST_WORDS) & ~plain.rlike(r"[.!?]\z") & ~plain.rlike("(?i)" + C.PAGE_NUMBER)
-    return lines.withColumn("key", F.when(good, F.concat(band, F.lit(":"), plain)))
+    """Adds ``band`` (top, bottom or null), ``is_number`` and ``key``.
+
+    ``key`` is the band and the normalised text of a short line there that does
+    not end like a sentence, else null.  Lines without a place are in no band.
+    """
+    band = F.when(F.col("height") > 0, F.when(F.col("y") >= (1 - BAND) * F.col("height"), "top").when(F.col("y") <= BAND * F.col("height"), "bottom"))
+    plain = T.trimmed(F.regexp_replace(F.lower(nfkc(F.col("line"))), r"\s+", " "))
+    lines = lines.withColumn("band", band).withColumn("_plain", F.when(F.col("band").isNotNull(), plain))
+    number = T.count(F.col("_plain"), r"[\p{L}\p{N}]+")
+    good = (number > 0) & (number <= MOST_WORDS) & ~F.col("_plain").rlike(r"""[.!?]["'”’)}\]]*\z""")
+    lines = lines.withColumn("is_number", F.coalesce(F.col("line").rlike(NUMBER), F.lit(False)))
+    return lines.withColumn("key", F.when(good, F.concat("band", F.lit(":"), "_plain"))).drop("_plain")
 
 
 def repeated_artifacts(lines: DataFrame, least: int = 2) -> DataFrame:
-    """``(book, key, pages)``: keys on at least ``least`` pages of a book."""
-    keyed = with_artifact_key(lines).where("key is not null")
+    """``(book, key, pages)``: keys on at least ``least`` pages of a book, page numbers apart."""
+    keyed = with_artifact_key(lines).where("key is not null and not is_number")
     return keyed.groupBy("book", "key").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= least)
 
 
 def without_artifacts(lines: DataFrame, least: int = 2) -> DataFrame:
-    """The lines without repeated headers and footers; the same text in the body stays."""
-    return with_artifact_key(lines).join(repeated_artifacts(lines, least), ["book", "key"], "left_anti")
+    """The lines without repeated headers and footers, nor page numbers there; the same text in the body stays."""
+    keyed = with_artifact_key(lines).where(F.col("band").isNull() | ~F.col("is_number"))
+    return keyed.join(repeated_artifacts(lines, least).select("book", "key"), ["book", "key"], "left_anti").drop("band", "is_number")
+
+
+def page_texts(lines: DataFrame) -> DataFrame:
+    """``(book, page, text)``: a page's lines in order."""
+    own = lines.groupBy("book", "page").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    return own.select("book", "page", T.trimmed(F.array_join("l.line", "\n")).alias("text"))
+
+
+def with_ocr(pages: DataFrame, recognised: DataFrame) -> DataFrame:
+    """``(book, page, text)`` -> the same with ``source``; sparse pages have the text of ``recognised(book, page, text, failed)``.
+
+    ``source`` is ``embedded-text``, ``ocr`` or ``none``; ``outcome`` of a sparse
+    page is ``recognised``, ``ocr-empty``, ``ocr-failed`` or ``sparse``.
+    """
+    other = recognised.select("book", "page", F.col("text").alias("_t"), F.coalesce("failed", F.lit(False)).alias("_f"))
+    df = pages.withColumn("quality", quality(F.coalesce("text", F.lit("")))).join(other, ["book", "page"], "left")
+    sparse, new = F.col("quality") != "readable-text", F.coalesce(T.trimmed(F.col("_t")), F.lit(""))
+    outcome = F.when(~sparse, None).when(F.col("_f").isNull(), "sparse").when(F.col("_f"), "ocr-failed").when(new == "", "ocr-empty").otherwise("recognised")
+    df = df.withColumn("outcome", outcome)
+    text = F.when(F.col("outcome") == "recognised", new).otherwise(F.coalesce("text", F.lit("")))
+    source = F.when(F.col("outcome") == "recognised", "ocr").when(text != "", "embedded-text").otherwise("none")
+    return df.select("book", "page", text.alias("text"), source.alias("source"), "quality", "outcome")
+
+
+def import_notes(pages: DataFrame) -> DataFrame:
+    """``(book, pages, method, warnings, reason)`` of ``with_ocr``'s pages; ``reason`` says why a book is not taken."""
+    numbers = lambda test: F.sort_array(F.collect_list(F.when(test, F.col("page"))))
+    df = pages.groupBy("book").agg(
+        F.count(F.lit(1)).alias("pages"),
+        numbers((F.col("quality") != "readable-text") & (F.col("outcome") != "recognised")).alias("sparse"),
+        numbers(F.col("outcome") == "ocr-failed").alias("failed"),
+        numbers(F.col("outcome") == "ocr-empty").alias("empty"),
+        F.max((F.col("source") == "ocr").cast("int")).alias("ocr"),
+        F.max(((F.col("source") == "embedded-text") & (F.col("text") != "")).cast("int")).alias("embedded"),
+        F.sum(F.length("text")).alias("characters"),
+    )
+    several = lambda c: F.concat(F.when(F.size(c) == 1, "").otherwise("s"), F.lit(" "), F.array_join(F.transform(c, lambda x: x.cast("string")), ", "), F.lit("."))
+    warn = lambda c, head: F.when(F.size(c) > 0, F.concat(F.lit(head), several(F.col(c))))
+    warnings = F.array_compact(
+        F.array(
+            warn("sparse", "Embedded text was sparse or missing on page"),
+            warn("failed", "Local OCR failed on page"),
+            warn("empty", "Local OCR returned no readable text for page"),
+        )
+    )
+    method = F.when(F.col("ocr") == 0, "pdf-text").when(F.col("embedded") == 1, "pdf-mixed").otherwise("pdf-ocr")
+    reason = F.when(F.col("pages") > MOST_PAGES, "too-many-pages").when(F.col("characters") > MOST_CHARACTERS, "too-much-text").when(F.col("characters") == 0, "scanned")
+    return df.select("book", "pages", method.alias("method"), warnings.alias("warnings"), reason.alias("reason"))
+
+
+def page_of(places: DataFrame, found: DataFrame, book: str = "book", offset: str = "start") -> DataFrame:
+    """``places`` with the ``page`` whose span of ``found(book, page, start, end)`` holds the offset, or null."""
+    own = found.where(F.col("end") > F.col("start")).select(F.col("book").alias("_b"), "page", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    inside = (F.col(book) == F.col("_b")) & (F.col(offset) >= F.col("_s")) & (F.col(offset) < F.col("_e"))
+    return places.join(own, inside, "left").drop("_b", "_s", "_e")
 
 
 def quality(text: Column, characters: int = LEAST_CHARACTERS, words: int = LEAST_WORDS) -> Column:

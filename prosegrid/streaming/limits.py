@@ -41,8 +41,15 @@ def rate_limited(requests: DataFrame, client: str, ts: str, key: str, limit: int
     return rows.repartition("c").sortWithinPartitions("c", "t", "k").mapInArrow(run, "key long, accepted boolean")
 
 
-def latest_unexpired(snapshots: DataFrame, owner: str, ts: str, key: str, now, hours: int = TTL_HOURS) -> DataFrame:
-    """Each owner's last snapshot, if it is no older than ``hours`` and not over a minute ahead of ``now``."""
+def latest_unexpired(snapshots: DataFrame, owner: str, ts: str, key: str, now=None, hours: int = TTL_HOURS) -> DataFrame:
+    """Each owner's last snapshot, if it is no older than ``hours`` and not over a minute ahead of ``now``.
+
+    Without ``now`` the newest snapshot's time counts.
+    """
     last = snapshots.groupBy(F.col(owner).alias("owner")).agg(F.max(F.struct(F.col(ts).alias("ts"), F.col(key).alias("key"))).alias("s"))
-    age = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("s.ts").cast("timestamp"))
+    if now is None:
+        last = last.crossJoin(F.broadcast(snapshots.agg(F.max(ts).alias("now"))))  # one row
+    else:
+        last = last.withColumn("now", F.lit(now))
+    age = F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("s.ts").cast("timestamp"))
     return last.where((age <= hours * 3_600_000_000) & (age >= -AHEAD_SECONDS * 1_000_000)).select("owner", F.col("s.key").alias("key"))
