@@ -390,7 +390,9 @@ def near_copies(
 
     def hold(some: DataFrame) -> DataFrame:
         """Of these pairs, written already, those whose sets of shingles are as similar as wanted."""
-        x, y = (own.select(F.col("c").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(w)) for c, w in (("a", "x"), ("b", "y")))
+        met = own.join(some.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c", "left_semi")
+        met = scratch.store(met.select("c", "n", "wide"))
+        x, y = (met.select(F.col("c").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(w)) for c, w in (("a", "x"), ("b", "y")))
         closer = some.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y")
         some = scratch.store(closer.mapInArrow(_closer(least), "a long, b long"))
         ends = classes.join(some.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c", "left_semi")
@@ -399,7 +401,7 @@ def near_copies(
         x = sets.select(F.col("c").alias("a"), F.col("own").alias("x"))
         y = sets.select(F.col("c").alias("b"), F.col("own").alias("y"))
         good = scratch.store(some.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_compare(least), "a long, b long"))
-        scratch.drop(sets)
+        scratch.drop(sets, met)
         return good
 
     def grown(joined: DataFrame | None, some: DataFrame) -> DataFrame:
