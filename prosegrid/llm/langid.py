@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from prosegrid.llm.blocks import code_points, lean, text_blocks
 
 BUCKETS = 1 << 16
+#: Distinct labels at most: a task counts 512 kB for each, and the model that is broadcast has 256 kB.
+MOST_LABELS = 256
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 UNIT = 1 << 20
@@ -56,7 +58,16 @@ def _grams(points: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndar
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from all rows that have a text and a label; nothing else of them is read."""
+    """Learn from all rows that have a text and a label; nothing else of them is read.
+
+    Rows with a null text or label are left out, and repeated rows count as
+    often as they come.  An empty table gives a model without labels.  More
+    than ``MOST_LABELS`` distinct labels raise ``ValueError``: they are no
+    languages, and the model would not be small any more.
+    """
+    labels = docs.where(F.col(lang_col).isNotNull()).select(lang_col).distinct().limit(MOST_LABELS + 1).count()
+    if labels > MOST_LABELS:
+        raise ValueError(f"over {MOST_LABELS} distinct labels")
 
     @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 #: Blocks in a row of a frame, rows of a frame, frames a second.
 ACROSS, DOWN, FPS = 16, 4, 25
 BINS = 16
+#: Samples that are decoded at a time.
+SAMPLED = 1 << 20
 UNIT = 64
 _SCALE = 12
 
@@ -209,14 +211,18 @@ def _fast(frame: bytes) -> tuple[np.ndarray, int] | None:
 
 
 class _Bits:
+    """Bits of a scan, read from where it stands; what one read costs does not depend on the scan's length."""
+
     def __init__(self, data: bytes):
-        self.value, self.left = int.from_bytes(data, "big"), 8 * len(data)
+        self.data, self.at, self.end = data + b"\0" * 4, 0, 8 * len(data)
 
     def take(self, n: int) -> int:
-        self.left -= n
-        if self.left < 0:
+        at = self.at
+        self.at += n
+        if self.at > self.end:
             raise ValueError("the scan ends too early")
-        return self.value >> self.left & ((1 << n) - 1)
+        word = int.from_bytes(self.data[at >> 3 : (at >> 3) + 4], "big")
+        return word >> (32 - (at & 7) - n) & ((1 << n) - 1)
 
     def symbol(self, table: dict[tuple[int, int], int]) -> int:
         code = 0
@@ -342,18 +348,25 @@ def features(data: bytes) -> tuple[list[tuple[int, int]], float, str, bytes | No
     quick = [_fast(f) for f in video.frames]
     payload = None
     if video.frames and all(q is not None for q in quick):
-        blocks = np.concatenate([q[0] for q in quick])
-        each = len(quick[0][0])
-        px = samples(_VALUE[blocks]) >> 4
-        of = np.repeat(np.arange(len(quick)) * BINS, each * 64)
-        hist = np.bincount(of + px.reshape(-1), minlength=len(quick) * BINS).reshape(-1, BINS)
-        across, down = quick[0][1] * 8, each // quick[0][1] * 8
+        each, across = len(quick[0][0]), quick[0][1] * 8
+        down = each // quick[0][1] * 8
+        hist = np.zeros((len(quick), BINS), np.int64)
+        at_once = max(1, SAMPLED // (each * UNIT))  # samples are eight bytes each, so some frames at a time
+        for lo in range(0, len(quick), at_once):
+            some = quick[lo : lo + at_once]
+            px = samples(_VALUE[np.concatenate([q[0] for q in some])]) >> 4
+            of = np.repeat(np.arange(len(some)) * BINS, [len(q[0]) * UNIT for q in some])
+            hist[lo : lo + at_once] = np.bincount(of + px.reshape(-1), minlength=len(some) * BINS).reshape(-1, BINS)
         if video.payload is not None:
-            payload = blocks.tobytes()[: video.payload]
+            payload = b"".join(q[0].tobytes() for q in quick)[: video.payload]
     else:
-        frames = [decode_frame(f) for f in video.frames]
-        hist = np.array([np.bincount((f >> 4).reshape(-1), minlength=BINS) for f in frames]).reshape(-1, BINS)
-        down, across = frames[0].shape if frames else (0, 0)
+        frames = (decode_frame(f) for f in video.frames)
+        hist, down, across = [], 0, 0
+        for f in frames:
+            hist.append(np.bincount((f >> 4).reshape(-1), minlength=BINS))
+            if len(hist) == 1:
+                down, across = f.shape
+        hist = np.array(hist, np.int64).reshape(-1, BINS)
     found = shots(hist)
     text = f"mjpeg {across}x{down} frames={len(hist)} shots={','.join(f'{a}-{b}' for a, b in found)} hist={','.join(map(str, hist.sum(0)))}"
     return found, video.fps, text, payload
@@ -362,7 +375,10 @@ def features(data: bytes) -> tuple[list[tuple[int, int]], float, str, bytes | No
 def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_bytes, media)``: every whole text, padded with bytes 0 to a positive multiple of 64, as AVI.
 
-    A null text is an empty one.  Null ids and repeated rows stay as they are.
+    A null text is an empty one, and has a file of one block.  Null ids and
+    repeated rows stay as they are; an empty table gives no rows.  Other columns
+    of ``docs`` are not read, whatever their names.  A file is as large as nine
+    eighths of its text, and one text is encoded at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,7 +411,8 @@ def read_media(media: DataFrame) -> DataFrame:
     """``(id, n_bytes, media)`` -> digests, the payload's if the file holds one, the feature and timed clips.
 
     A null medium, and one that is no AVI file of baseline frames, has a null
-    feature and no clips.
+    feature and no clips.  Null ids and repeated rows stay as they are; an empty
+    table gives no rows.  Other columns of ``media`` are not read.
     """
 
     def one(data: bytes | None) -> tuple:

@@ -69,6 +69,7 @@ def op6_media_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         "media_bytes",
         "media_sha256",
         "feature",
+        F.size("clips").alias("clips"),
     )
 
 

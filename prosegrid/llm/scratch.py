@@ -1,56 +1,5 @@
 """Intermediate tables in the folder that driver and executors share."""
 
-from __future__ import annotations
+from prosegrid.scratch import Scratch, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from prosegrid.session import ship
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder.
-
-    ``spark.checkpoint.dir`` decides.  Where it is unset, a folder set on the
-    SparkContext, then (local mode only, as in tests) a temporary folder, and
-    on a cluster a folder in the warehouse, which is shared as well.
-    """
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if path:
-        return path.rstrip("/")
-    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        path = tempfile.mkdtemp(prefix="prosegrid-")
-        sc.setCheckpointDir(path)
-        return sc.getCheckpointDir().rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
-
-class Scratch:
-    """Writes tables that cut lineage, and removes them once they are used up.
-
-    A written table survives the loss of executors, is read by any of them and
-    carries its size, so that later joins can choose to broadcast it.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = ship(spark)
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._n = 0
-
-    def store(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{self._n}"
-        self._n += 1
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete stored tables that nothing will read again."""
-        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+__all__ = ["Scratch", "shared_dir"]

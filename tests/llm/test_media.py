@@ -147,3 +147,31 @@ def test_index_from_the_file_start_and_no_index():
     for i in range(at + 8, len(data), 16):
         moved[i + 8 : i + 12] = struct.pack("<I", struct.unpack_from("<I", data, i + 8)[0] + movie)
     assert M.payload_of(M.parse(bytes(moved))) == M.payload_of(M.parse(data)) == M.payload_of(M.parse(data[:at]))
+
+
+def test_reading_bits_does_not_depend_on_what_follows():
+    rng = np.random.default_rng(8)
+    data = rng.integers(0, 256, 2_000_000, np.uint8).tobytes()
+    whole, bits = "".join(f"{b:08b}" for b in data[:4000]), M._Bits(data)
+    at = 0
+    while at < 31000:
+        n = int(rng.integers(1, 17))
+        assert bits.take(n) == int(whole[at : at + n], 2)
+        at += n
+    end = M._Bits(b"\xa5")
+    assert end.take(8) == 0xA5
+    with pytest.raises(ValueError):
+        end.take(1)
+
+
+def test_long_and_odd_texts(spark):
+    long = "lång text " * 300_000
+    rows = [(1, long, "x"), (2, long, "y"), (3, None, "z"), (None, "", "z"), (3, "a", "z")]
+    df = spark.createDataFrame(rows, "id long, text string, media string").withColumnRenamed("id", "doc_id")
+    got = M.read_media(M.with_media(df)).collect()
+    assert sorted((r["id"] or 0, r["n_bytes"], r["payload_bytes"]) for r in got) == [(0, 0, 64), (1, 3300000, 3300032), (2, 3300000, 3300032), (3, 0, 64), (3, 1, 64)]
+    raw = long.encode()
+    for r in got:
+        if r["n_bytes"] == len(raw):
+            assert r["payload_sha256"] == hashlib.sha256(raw + b"\0" * 32).hexdigest() and r["feature"] and r["clips"]
+    assert M.read_media(M.with_media(df.limit(0))).count() == 0
