@@ -138,6 +138,18 @@ def _lines() -> str:
     FROM counted"""
 
 
+_NUMBER = r"(?i)^\s*(?:page\s+)?(?:\d{1,4}|[ivxlcdm]+)(?:\s*(?:of|/|-|–)\s*(?:\d{1,4}|[ivxlcdm]+))?\s*$"
+_BOOKS = f"""WITH d AS (SELECT source AS book, doc_id AS page, string_split(concat_ws(chr(10), lang, text, 'page ' || doc_id), chr(10)) AS t FROM documents),
+      l AS (SELECT book, page, unnest(t) AS line, generate_subscripts(t, 1) - 1 AS line_no, len(t) AS n FROM d),
+      p AS (
+        SELECT *, 800.0::DOUBLE * (1 - (line_no + 0.5::DOUBLE) / n) AS y, regexp_matches(line, {_q(_NUMBER)}) AS number,
+          lower({TRIM.format("regexp_replace(line, '\\s+', ' ', 'g')")}) AS plain FROM l),
+      b AS (SELECT *, CASE WHEN y >= (1 - 0.12::DOUBLE) * 800 THEN 'top' WHEN y <= 0.12::DOUBLE * 800 THEN 'bottom' END AS band FROM p),
+      k AS (
+        SELECT *, CASE WHEN len(regexp_extract_all(plain, '[\\p{{L}}\\p{{N}}]+')) BETWEEN 1 AND 20
+          AND NOT regexp_matches(plain, '[.!?]["''”’)}}\\]]*$') THEN band || ':' || plain END AS key FROM b)"""
+
+
 ORACLES = {
     "word_counts": f"""SELECT doc_id, len(regexp_extract_all(text, {_q(C.TOKEN)})) AS tokens,
         len(regexp_extract_all(text, {_q(C.WORD)})) AS words, len(regexp_extract_all(text, '\\S+')) AS pieces FROM documents""",
@@ -187,17 +199,11 @@ ORACLES = {
       SELECT conv_id, turn, CAST(coalesce(list_sum(list_transform(
         list_distinct(list_concat(coalesce(map_keys(x), []), coalesce(map_keys(y), []))),
         lambda k: abs(CAST(coalesce(x[k], 0) AS BIGINT) - CAST(coalesce(y[k], 0) AS BIGINT)))), 0) AS BIGINT) AS changed FROM bags""",
-    "boundary_artifacts": f"""WITH l AS (
-        SELECT source AS book, doc_id AS page, unnest(string_split(text, chr(10))) AS line,
-          generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, len(string_split(text, chr(10))) AS n FROM documents),
-      p AS (
-        SELECT book, page, 800.0::DOUBLE * (1 - (line_no + 0.5::DOUBLE) / n) AS y,
-          lower({TRIM.format("regexp_replace(line, '\\s+', ' ', 'g')")}) AS plain FROM l),
-      k AS (
-        SELECT book, page, CASE WHEN y >= (1 - 0.12::DOUBLE) * 800 THEN 'top' WHEN y <= 0.12::DOUBLE * 800 THEN 'bottom' END || ':' || plain AS key
-        FROM p WHERE len(regexp_extract_all(plain, {_q(C.TOKEN)})) BETWEEN 1 AND 20 AND NOT regexp_matches(plain, '[.!?]$')
-          AND NOT regexp_matches(plain, {_q('(?i)' + C.PAGE_NUMBER)}))
-      SELECT book, key, count(DISTINCT page) AS pages FROM k WHERE key IS NOT NULL GROUP BY ALL HAVING count(DISTINCT page) >= 2""",
+    "boundary_artifacts": f"{_BOOKS} SELECT book, key, count(DISTINCT page) AS pages FROM k WHERE key IS NOT NULL AND NOT number GROUP BY ALL HAVING count(DISTINCT page) >= 2",
+    "body_lines": f"""{_BOOKS}, again AS (
+        SELECT book, key FROM k WHERE key IS NOT NULL AND NOT number GROUP BY ALL HAVING count(DISTINCT page) >= 2)
+      SELECT book, page, count(*) AS lines FROM k WHERE (band IS NULL OR NOT number)
+        AND NOT EXISTS (SELECT 1 FROM again WHERE again.book = k.book AND again.key = k.key) GROUP BY ALL""",
     "rate_limiter": """WITH RECURSIVE e AS (
         SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i
         FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),

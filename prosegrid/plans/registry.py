@@ -110,8 +110,18 @@ def changed_tokens(spark, sf_dir):
     return comparison.changed_tokens(pairs, ["conv_id", "turn"])
 
 
+def _books(spark, sf_dir):
+    """Documents of a source as pages of a book, each with its language as a header and a page number below."""
+    text = F.concat_ws("\n", "lang", "text", F.concat(F.lit("page "), F.col("doc_id").cast("string")))
+    return pages.lines_of_pages(_docs(spark, sf_dir).withColumn("printed", text), "source", "doc_id", "printed")
+
+
 def boundary_artifacts(spark, sf_dir):
-    return pages.repeated_artifacts(pages.lines_of_pages(_docs(spark, sf_dir), "source", "doc_id", "text"))
+    return pages.repeated_artifacts(_books(spark, sf_dir))
+
+
+def body_lines(spark, sf_dir):
+    return pages.without_artifacts(_books(spark, sf_dir)).groupBy("book", "page").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def rate_limiter(spark, sf_dir):
@@ -301,6 +311,7 @@ QUERIES = {
         class_weights,
         changed_tokens,
         boundary_artifacts,
+        body_lines,
         rate_limiter,
         ttl_latest,
         sentence_signals,
