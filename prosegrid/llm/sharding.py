@@ -8,9 +8,10 @@ wanted shard has.  All of it is joins and grouped counts.
 
 At last all documents are put in one order, by shard, group and id, and the
 order is cut into parts of equal count.  Shards then differ by one row at most
-whatever the groups are, and a cut goes through at most one group.  A group of
-a third of all rows fills several shards; the order is made by range, with the
-id and the row in it, so its rows are sorted by many tasks.
+whatever the groups are, a group's rows stand together, and a cut goes through
+at most one group.  A group of a third of all rows fills several shards; the
+order is made by range, with the id and the row in it, so its rows are sorted
+by many tasks.
 
 DataFrame functions only: nothing here runs Python on the executors.
 """
@@ -27,14 +28,21 @@ ROUNDS = 4
 SLACK = 0.25
 
 
+GROUP = ["g", "crc", "size"]
+
+
+def _majority(now: DataFrame) -> DataFrame:
+    """Each group with the label that most of its rows have, the smallest of equals."""
+    tally = now.groupBy(*GROUP, "label").agg(F.count(F.lit(1)).alias("n"))
+    most = F.max(F.struct("n", (-F.col("label")).alias("l")))["l"]
+    return tally.groupBy(*GROUP).agg((-most).cast("int").alias("best"))
+
+
 def _propagate(linked: DataFrame, fixed: DataFrame, shards: int, rounds: int, scratch: Scratch) -> DataFrame:
     """``linked(row, id, g, crc, size, label)`` with new labels; ``fixed(label, n)``: rows that stay."""
-    group = ["g", "crc", "size"]
     now = linked
     for turn in range(rounds):
-        tally = now.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("n"))
-        best = tally.groupBy(*group).agg((-F.max(F.struct("n", (-F.col("label")).alias("l")))["l"]).alias("best"))
-        wants = scratch.store(now.join(best, group))
+        wants = scratch.store(now.join(_majority(now), GROUP))
         asked = wants.where("label <> best").groupBy("label", "best").agg(F.count(F.lit(1)).alias("asked"))
         load = (
             wants.groupBy("label").agg(F.count(F.lit(1)).alias("n")).unionByName(fixed).groupBy("label").agg(F.sum("n").alias("n"))
@@ -59,11 +67,12 @@ def _propagate(linked: DataFrame, fixed: DataFrame, shards: int, rounds: int, sc
             wants.join(F.broadcast(quota), ["label", "best"], "left").select(
                 "row",
                 "id",
-                *group,
+                *GROUP,
                 F.when(draw < F.col("part"), F.col("best")).otherwise(F.col("label")).alias("label"),
             )
         )
-    return now
+    # Who had no room yet goes with the group; the cut into equal counts, in order, comes after.
+    return now.join(_majority(now), GROUP).select("row", "id", *GROUP, F.col("best").alias("label"))
 
 
 def shard(
@@ -83,7 +92,7 @@ def shard(
     columns of ``docs`` are not read.
     """
     scratch = Scratch(docs.sparkSession, "sharding")
-    group = ["g", "crc", "size"]
+    group = GROUP
     bytes_ = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = scratch.store(
         docs.select(

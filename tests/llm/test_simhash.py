@@ -89,3 +89,31 @@ def test_huge_keys_are_cut_and_stay_exact(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicate_classes(df).count() == 0
+
+
+def test_long_texts_and_clashing_columns(spark):
+    words = [f"v{i * 31 % 9973}" for i in range(120_000)]
+    texts = [" ".join(words), "\n".join(words), " ".join(words[:60_000]), "x" * 2_000_000, " " * 500_000, None, ""]
+    df = spark.createDataFrame([(i, t, i, "fp") for i, t in enumerate(texts)], "doc_id long, text string, fp int, component string")
+    got = {r["id"]: (r["fp"], r["component"]) for r in S.near_duplicate_classes(df).collect()}
+    for i in (0, 2, 3):
+        want = S.fold(S.shingle_hashes(texts[i].encode(), 4))
+        assert got[i][0] & (1 << 64) - 1 == want
+    assert got[1] == got[0] and {got[i] for i in (4, 5, 6)} == {(0, 4)}
+    hashes = S.shingle_hashes(" ".join(words[:3000]).encode(), 4)
+    assert hashes.tolist() == [xxhash.xxh64_intdigest(" ".join(words[i : i + 4]).encode(), 42) for i in range(2997)]
+
+
+def test_no_result_depends_on_how_work_is_dealt(spark):
+    from prosegrid.llm.components import connected_components
+    from prosegrid.llm.scratch import Scratch
+
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**63, 12, dtype=np.int64)
+    fps = np.unique(np.concatenate([base, *(base ^ (np.int64(1) << rng.integers(0, 60, 12)) ^ (np.int64(1) << rng.integers(0, 60, 12)) for _ in range(60))]))
+    df = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+    scratch, found = Scratch(spark, "test"), []
+    for how in ({}, {"small_size": 2}, {"small_size": 500}, {"block_size": 40}, {"block_size": 7, "small_size": 3}):
+        joined = connected_components(S.links(df, scratch, **how), scratch)
+        found.append(sorted((r["node"], r["root"]) for r in joined.collect()))
+    assert all(f == found[0] for f in found) and len(found[0]) > 600

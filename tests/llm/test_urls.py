@@ -83,3 +83,18 @@ def test_evidence_reaches_far_whatever_the_seeds(spark):
     ranks = U.propagate(seeds, spark.createDataFrame([*edges, ("e", "d0")], "src string, dst string"), U.Scratch(spark, "test"))
     found = {r["host"]: r["distrust"] for r in ranks.collect()}
     assert found["a"] > found["b0"] > found["c0"] > found["d0"] > found["e"] > 0
+
+
+def test_long_and_odd_pages(spark):
+    html = "<p>text</p>" * 200_000 + '<a href="//far.example/x">l</a>' + "".join(f'<a href="http://h{i}.info/">' for i in range(3000))
+    rows = [(1, "http://EXAMPLE.com/en/7/" + "a" * 300_000, html, "x"), (1, "http://far.example/", None, "y"), (None, None, "", "z"), (2, "no scheme", html, "z"), (2, "http://a.org/es/1", "", "z")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    got = sorted(((r["id"] or 0), r["host"], len(r["path"]), r["rule"], r["verdict"], r["trust"] > 0) for r in U.judge_urls(df).collect())
+    assert got == [
+        (0, "", 0, None, "allow", False),
+        (1, "example.com", 300_006, "example.com/en/7", "allow", True),
+        (1, "far.example", 1, None, "allow", True),
+        (2, "", 0, None, "allow", False),
+        (2, "a.org", 5, "org/es/", "block", False),
+    ]
+    assert U.judge_urls(df.limit(0)).count() == 0

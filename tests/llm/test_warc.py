@@ -120,3 +120,13 @@ def test_canonical(spark):
     }
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     assert {r["u"]: r["c"] for r in df.select("u", W.canonical_url(df["u"]).alias("c")).collect()} == urls
+
+
+def test_long_headers_and_urls(spark):
+    lines = "\r\n".join(f"x-{i}: {'v' * 50}" for i in range(400)) + '\r\netag: "e"'
+    url = "http://a/" + "p" * 200_000
+    rows = [(1, url, 1, 200, lines, "body"), (2, url + "#f", 2, 304, 'ETag: W/"e"\r\nnonsense\r\n: none', None), (3, "", 3, 304, None, None), (4, url, None, 304, "", None), (5, url, 9, None, "", None)]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, status int, headers string, payload string")
+    got = {r["record_id"]: r for r in W.resolve_revisits(df).collect()}
+    assert got[2]["outcome"] == "resolved" and got[2]["payload"] == "body" and got[2]["headers"].count("\n") == 400
+    assert got[3]["outcome"] == got[4]["outcome"] == "no-earlier-response" and set(got) == {2, 3, 4}
