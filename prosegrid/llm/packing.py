@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ SEGMENTS = 256
 WAITING = 2048
 END_ID = 0
 _SLOTS = 1 << 20
-#: Words that an encoder keeps before it starts anew; a worker holds it from task to task.
-_MOST = 1 << 18
+#: Words that an encoder keeps (some 110 MB) before it starts anew; a worker holds it from task to task.
+_MOST = 1 << 20
 
 
 class Encoder:
@@ -60,8 +61,9 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.words = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int32)
-        self.known: dict[int, int] = {}
+        # Each word has one of two places; who finds both taken puts the second one's word out.
+        self.keys, self.words = np.zeros((2, _SLOTS), np.uint64), np.zeros((2, _SLOTS), np.int32)
+        self.known = 0
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
         self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.points, self.written = np.empty(1 << 16, np.uint32), 0
@@ -103,60 +105,65 @@ class Encoder:
         return np.flatnonzero(start)
 
     def _learn(self, keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, text: str, points: np.ndarray) -> np.ndarray:
-        """Numbers of words; those not known yet are encoded."""
-        keys, at, back = np.unique(keys, return_index=True, return_inverse=True)
-        known = self.known
-        number = np.fromiter((known.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
-        new = np.flatnonzero(number < 0)
-        if len(new):
-            spots = at[new]
-            words = [text[a:b] for a, b in zip(lo[spots].tolist(), hi[spots].tolist())]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
-            base = len(known)
-            while base + len(new) > len(self.at):
-                self.at = np.concatenate((self.at, np.zeros_like(self.at)))
-                self.size = np.concatenate((self.size, np.zeros_like(self.size)))
-                self.begin = np.concatenate((self.begin, np.zeros_like(self.begin)))
-                self.long = np.concatenate((self.long, np.zeros_like(self.long)))
-            long = hi[spots] - lo[spots]
-            while self.written + int(long.sum()) > len(self.points):
-                self.points = np.concatenate((self.points, np.empty_like(self.points)))
-            ends = np.cumsum(long)
-            its = points[np.repeat(lo[spots] - (ends - long), long) + np.arange(int(ends[-1]))]
-            self.points[self.written : self.written + len(its)] = its
-            self.begin[base : base + len(new)] = self.written + ends - long
-            self.long[base : base + len(new)] = long
-            self.written += len(its)
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.at[base : base + len(new)] = self.used + np.cumsum(sizes) - sizes
-            self.size[base : base + len(new)] = sizes
-            self.used += len(flat)
-            number[new] = np.arange(base, base + len(new))
-            known.update(zip(keys[new].tolist(), number[new].tolist()))
+        """Numbers of words that are not known yet; each is encoded once."""
+        keys, spots, back = np.unique(keys, return_index=True, return_inverse=True)
+        words = [text[a:b] for a, b in zip(lo[spots].tolist(), hi[spots].tolist())]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+        base = self.known
+        while base + len(keys) > len(self.at):
+            self.at = np.concatenate((self.at, np.zeros_like(self.at)))
+            self.size = np.concatenate((self.size, np.zeros_like(self.size)))
+            self.begin = np.concatenate((self.begin, np.zeros_like(self.begin)))
+            self.long = np.concatenate((self.long, np.zeros_like(self.long)))
+        long = hi[spots] - lo[spots]
+        while self.written + int(long.sum()) > len(self.points):
+            self.points = np.concatenate((self.points, np.empty_like(self.points)))
+        ends = np.cumsum(long)
+        its = points[np.repeat(lo[spots] - (ends - long), long) + np.arange(int(ends[-1]))]
+        self.points[self.written : self.written + len(its)] = its
+        self.ids[self.used : self.used + len(flat)] = flat
+        mine = slice(base, base + len(keys))
+        self.begin[mine], self.long[mine] = self.written + ends - long, long
+        self.at[mine], self.size[mine] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.written += len(its)
+        self.used += len(flat)
+        self.known += len(keys)
+        number = np.arange(base, self.known, dtype=np.int32)
+        first, second = self._places(keys)
+        free = self.keys[0, first] == 0
+        self.keys[0, first[free]], self.words[0, first[free]] = keys[free], number[free]
+        full = self.keys[0, first] != keys
+        self.keys[1, second[full]], self.words[1, second[full]] = keys[full], number[full]
         return number[back]
 
+    @staticmethod
+    def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (keys >> np.uint64(44)).astype(np.int64), (keys >> np.uint64(22)).astype(np.int64) & (_SLOTS - 1)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A block of UTF-8 texts -> all ids, and offsets of the texts among them."""
         points, offsets, text = code_points(data, offsets)
         if not len(points):
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
-        if len(self.known) > _MOST:
+        if self.known > _MOST:
             self._forget()
         lo = self._starts(points, offsets)
         hi = np.append(lo[1:], len(points))
         up, down = powers(len(points) + 1)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], dtype=np.uint64)))
-        keys = mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64))
-        slot = (keys >> np.uint64(44)).astype(np.int64)
-        number = self.words[slot].astype(np.int64)
-        miss = np.flatnonzero(self.keys[slot] != keys)
-        if len(miss):
-            number[miss] = self._learn(keys[miss], lo[miss], hi[miss], text, points)
-            self.keys[slot[miss]], self.words[slot[miss]] = keys[miss], number[miss]
+        keys = mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64)) | np.uint64(1)
+        first, second = self._places(keys)
+        number = self.words[0, first].astype(np.int64)
+        other = np.flatnonzero(self.keys[0, first] != keys)
+        if len(other):
+            number[other] = self.words[1, second[other]]
+            miss = other[self.keys[1, second[other]] != keys[other]]
+            if len(miss):
+                number[miss] = self._learn(keys[miss], lo[miss], hi[miss], text, points)
         size = self.size[number].astype(np.int64)
         ends = np.cumsum(size)
         places = np.repeat(self.at[number] - (ends - size), size) + np.arange(int(ends[-1]))
@@ -187,7 +194,11 @@ class Encoder:
             fits = self.points[np.repeat(self.begin[number] - lo, long) + np.arange(len(points))] == points
             wrong = np.flatnonzero(~fits)
         else:
-            wrong = lo[~fits]
+            some, size = np.flatnonzero(fits), long[fits]
+            inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            here = np.repeat(lo[some], size) + inside
+            same = self.points[np.repeat(self.begin[number[some]], size) + inside] == points[here]
+            wrong = np.concatenate((lo[~fits], here[~same]))
         odd.update((np.searchsorted(offsets, wrong, "right") - 1).tolist())
         return sorted(odd)
 
