@@ -43,15 +43,19 @@ def words_of(text: str) -> list[str]:
     return PLAIN_WORD.findall(text) if text.isascii() else WORD.findall(text)
 
 
+#: Bits of one sum; all sums of a sentence are fields of one integer, added at once.
+_FIELD = 40
+_MASK = (1 << _FIELD) - 1
+
+
 @lru_cache(1 << 16)
-def _kind(word: str) -> tuple[str, int, int, int, int, int, int, int, int, bool]:
-    """Of a word: lower case, bare length, and whether it is of each list or form."""
+def _kind(word: str) -> tuple[str, int, bool]:
+    """Of a word: lower case, a one in the field of each list or form it is of (bare length in the lowest), whether it has content."""
     low = word.lower()
     marks = word.count("'") + word.count("’")
     upper = word[0].isupper() if word.isascii() else bool(UPPER.match(word))
     number = word[0].isdigit() if word.isascii() else bool(NUMBER.match(word))
-    return (
-        low,
+    counts = (
         len(word) - marks,
         low in STOP,
         low in FIRST,
@@ -60,8 +64,12 @@ def _kind(word: str) -> tuple[str, int, int, int, int, int, int, int, int, bool]
         len(low) > 5 and SUFFIX.search(low) is not None,
         low in HEDGES,
         upper,
-        len(low) > 2 and low not in STOP,
     )
+    return low, sum(int(n) << _FIELD * i for i, n in enumerate(counts)), len(low) > 2 and low not in STOP
+
+
+def _fields(packed: int) -> tuple[int, ...]:
+    return tuple(packed >> _FIELD * i & _MASK for i in range(8))
 
 
 class Sentence:
@@ -74,7 +82,10 @@ class Sentence:
         kinds = [_kind(w) for w in words_of(text)]
         self.low = [k[0] for k in kinds]
         self.number = len(kinds)
-        self.content = frozenset(k[0] for k in kinds if k[9])
+        self.content = frozenset([k[0] for k in kinds if k[2]])
+        packed = sum([k[1] for k in kinds])
+        if kinds:
+            packed -= kinds[0][1] >> 7 * _FIELD << 7 * _FIELD  # a capital at the beginning says nothing
         self.opener = " ".join(self.low[:2])
         self.dashes = len(DASH.findall(text))
         self.dashes_after_blank = len(DASH.findall(" " + text)) if text[:1] == "-" else self.dashes
@@ -82,14 +93,7 @@ class Sentence:
         self.regular = self.single and CLOSED.search(text) is not None
         stock = sum(len(p.findall(text)) for p in STOCKS) if STOCK.search(text) else 0
         self.sums = (
-            sum(k[1] for k in kinds),
-            sum(k[2] for k in kinds),
-            sum(k[3] for k in kinds),
-            sum(k[4] for k in kinds),
-            sum(k[5] for k in kinds),
-            sum(k[6] for k in kinds),
-            sum(k[7] for k in kinds),
-            sum(k[8] for k in kinds[1:]),
+            *_fields(packed),
             text.count(","),
             text.count(";") + text.count(":"),
             1 if OPENING.match(text) else 0,
@@ -180,14 +184,13 @@ def _of_words(text: str, found: list[Sentence], whole: list[str], out: list[floa
     """The same where the words of the text are not those of its sentences: a mark inside a number divides them."""
     n, m = len(found), len(whole)
     kinds = [_kind(w) for w in whole]
-    counts = Counter(k[0] for k in kinds)
+    sums, counts = _fields(sum(k[1] for k in kinds)), Counter(k[0] for k in kinds)
     stock = sum(len(p.findall(text)) for p in STOCKS)
     if m:
-        out[4] = sum(k[1] for k in kinds) / m
         out[5] = 1 - len(counts) / m
         out[6] = sum(v == 1 for v in counts.values()) / len(counts)
-        for at, k in ((7, 2), (8, 3), (9, 4), (10, 5), (16, 6), (21, 7)):
-            out[at] = sum(x[k] for x in kinds) / m
+        for at, k in ((4, 0), (7, 1), (8, 2), (9, 3), (10, 4), (16, 5), (21, 6)):
+            out[at] = sums[k] / m
         out[19] = sum(s.sums[7] for s in found) / m
     out[11], out[12] = text.count(",") / n, (text.count(";") + text.count(":")) / n
     out[13], out[15], out[20] = len(DASH.findall(text)) / n, stock / n, len(PASSIVE.findall(text)) / n

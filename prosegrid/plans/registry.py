@@ -10,7 +10,7 @@ from prosegrid.functions import tokens as T
 from prosegrid.operators import calibration, comparison, coverage, documents, features, report, revision, signals
 from prosegrid.operators.segments import lines, segment
 from prosegrid.plans.oracles import ORACLES  # noqa: F401
-from prosegrid.session import ship
+from prosegrid.session import ship, spread
 from prosegrid.sources import pages
 from prosegrid.streaming import limits, requests
 
@@ -19,6 +19,11 @@ def _docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFra
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work that takes long for each of them."""
+    return spread(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 def word_counts(spark, sf_dir):
     t = F.col("text")
     number = lambda p: T.count(t, p).cast("long")
@@ -42,19 +47,19 @@ def window_ranges(spark, sf_dir):
 
 
 def statistical_features(spark, sf_dir):
-    found = features.windowed(_docs(spark, sf_dir))
+    found = features.windowed(_texts(spark, sf_dir))
     return found.select("doc_id", F.col("start").cast("long").alias("start"), *(F.round(n, 6).alias(n) for n in features.NAMES))
 
 
 def window_likelihood(spark, sf_dir):
-    found = features.with_likelihood(features.windowed(_docs(spark, sf_dir)))
+    found = features.with_likelihood(features.windowed(_texts(spark, sf_dir)))
     return found.select(
         "doc_id", F.col("start").cast("long").alias("start"), F.round("logit", 6).alias("logit"), F.round("probability", 6).alias("probability")
     )
 
 
 def writing_characteristics(spark, sf_dir):
-    found = features.characteristics(_docs(spark, sf_dir).select("doc_id", "text"))
+    found = features.characteristics(_texts(spark, sf_dir).select("doc_id", "text"))
     return found.select(
         "doc_id", F.round("long_word_ratio", 6).alias("long_word_ratio"), F.round("citation_sentence_ratio", 6).alias("citation_sentence_ratio")
     )
@@ -66,7 +71,7 @@ def fnv_split(spark, sf_dir):
 
 
 def line_assessment(spark, sf_dir):
-    found = lines(_docs(spark, sf_dir)).select("doc_id", F.posexplode("lines").alias("line_no", "l"))
+    found = lines(_texts(spark, sf_dir)).select("doc_id", F.posexplode("lines").alias("line_no", "l"))
     return found.select(
         "doc_id",
         F.col("line_no").cast("long").alias("line_no"),
@@ -77,17 +82,17 @@ def line_assessment(spark, sf_dir):
 
 
 def sentence_split(spark, sf_dir):
-    found = segment(_docs(spark, sf_dir)).select("doc_id", F.posexplode("sentences").alias("sentence_no", "s"))
+    found = segment(_texts(spark, sf_dir)).select("doc_id", F.posexplode("sentences").alias("sentence_no", "s"))
     return found.select("doc_id", "sentence_no", "s.start", F.col("s.end").alias("stop"), "s.words", F.coalesce("s.reason", F.lit("prose")).alias("reason"))
 
 
 def sentence_scores(spark, sf_dir):
-    scored = coverage.score_sentences(_docs(spark, sf_dir))
+    scored = coverage.score_sentences(_texts(spark, sf_dir))
     return scored.select("doc_id", "i", "start", F.col("end").alias("stop"), "words", F.round("probability", 6).alias("probability"), "detected")
 
 
 def coverage_status(spark, sf_dir):
-    return coverage.coverage(_docs(spark, sf_dir))
+    return coverage.coverage(_texts(spark, sf_dir))
 
 
 def quantile_floor(spark, sf_dir):
@@ -136,7 +141,7 @@ def ttl_latest(spark, sf_dir):
 
 def _sentences(spark, sf_dir):
     """Sentences of the raw texts, numbered from 0."""
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "text"))
+    return _texts(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "text"))
 
 
 def sentence_signals(spark, sf_dir):
@@ -160,24 +165,24 @@ def coaching(spark, sf_dir):
 
 
 def document_factors(spark, sf_dir):
-    means = features.windowed(_docs(spark, sf_dir)).groupBy("doc_id").agg(F.array(*(F.avg(n) for n in features.NAMES)).alias("mean"))
+    means = features.windowed(_texts(spark, sf_dir)).groupBy("doc_id").agg(F.array(*(F.avg(n) for n in features.NAMES)).alias("mean"))
     found = signals.document_factors(means, ["doc_id"])
     number = lambda c: F.round(c, 6).alias(c)
     return found.select("doc_id", F.col("rank").cast("long").alias("rank"), "feature", number("value"), number("standardized"), number("contribution"), "direction")
 
 
 def audit_notes(spark, sf_dir):
-    found = report.notes(coverage.audit(_docs(spark, sf_dir)))
+    found = report.notes(coverage.audit(_texts(spark, sf_dir)))
     return found.select("doc_id", "status", "label", "summary", "confidence_label", "confidence_reason", "domain_label", "domain_reason", "long_words", "cited_sentences")
 
 
 def passage_reviews(spark, sf_dir):
-    found = report.passage_reviews(coverage.stored(_docs(spark, sf_dir)))
+    found = report.passage_reviews(coverage.stored(_texts(spark, sf_dir)))
     return found.select("doc_id", "passage", "start", "end", "sentences", "words", "score", "band", "label", "text", F.col("signals.id").alias("signals"), F.col("factors.feature").alias("factors"))
 
 
 def report_blocks(spark, sf_dir):
-    audited = coverage.stored(_docs(spark, sf_dir))
+    audited = coverage.stored(_texts(spark, sf_dir))
     reviews = report.passage_reviews(audited)
     intensity = signals.pattern_intensity(report.scored_sentences(audited), key="row")
     head = report.summary_rows(audited, intensity, reviews).select(
@@ -188,7 +193,7 @@ def report_blocks(spark, sf_dir):
 
 
 def revision_plan(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
+    docs = _texts(spark, sf_dir)
     audited = coverage.stored(docs)
     shown = report.reportable(audited)
     paragraph = F.sum(F.col("paragraph_before").cast("int")).over(Window.partitionBy("row").orderBy("i"))
@@ -216,7 +221,7 @@ def window_metrics(spark, sf_dir):
 
 
 def domain_bounds(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
+    docs = _texts(spark, sf_dir)
     means = features.windowed(docs).groupBy("doc_id").agg(F.array(*(F.avg(n) for n in features.NAMES)).alias("mean"))
     parts = features.contributions(F.col("mean"))
     positive = lambda names: sum((F.greatest(F.lit(0.0), c) for c, name in zip(parts, features.NAMES) if name in names), F.lit(0.0))
@@ -227,7 +232,7 @@ def domain_bounds(spark, sf_dir):
 
 
 def standardized_features(spark, sf_dir):
-    found = calibration.standardize(features.windowed(_docs(spark, sf_dir)).withColumn("w", F.lit(1.0)), features.NAMES, "w")
+    found = calibration.standardize(features.windowed(_texts(spark, sf_dir)).withColumn("w", F.lit(1.0)), features.NAMES, "w")
     return found.select("feature", F.round("mean", 6).alias("mean"), F.round("scale", 6).alias("scale"))
 
 
@@ -249,7 +254,7 @@ def revision_requests(spark, sf_dir):
 
 
 def flagged_passages(spark, sf_dir):
-    found = signals.passages(coverage.sentences(coverage.stored(_docs(spark, sf_dir))))
+    found = signals.passages(coverage.sentences(coverage.stored(_texts(spark, sf_dir))))
     return found.select("doc_id", "passage", "start", "end", "sentences", "words", "score", "band")
 
 
@@ -269,7 +274,7 @@ def text_statistics(spark, sf_dir):
 
 
 def prose_statistics(spark, sf_dir):
-    return documents.prose_statistics(coverage.audit(_docs(spark, sf_dir)))
+    return documents.prose_statistics(coverage.audit(_texts(spark, sf_dir)))
 
 
 def report_excerpt(spark, sf_dir):

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in an Arrow batch where the session sets no number: whole texts of some kilobytes each stay within megabytes.
 BATCH_ROWS = 2048
@@ -32,3 +32,13 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(target))
         _SHIPPED.add(sc.applicationId)
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows, dealt anew if they come in fewer partitions than the session has cores.
+
+    For work that takes long for each row on files too small to be split; what
+    a cluster reads comes in more partitions than that and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
