@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +20,15 @@ def fragments(text: Column) -> Column:
     return T.find_all(text, P.java(P.PROTECTED, fold=False))
 
 
-def _apply(df: DataFrame, rules: list[tuple[str, str, str]], where: Column) -> DataFrame:
-    """Rules in order over ``_t``; ``_ids`` gets those that changed something."""
+#: What a text must contain, in lower case, for a wording rule to change it; of letters with another lower form there is one.
+WORDING_MARKS = tuple(sorted({words or "a total of " for _, words, _ in P.WORDING_RULES})) + ("ſ",)
+
+
+def _apply(df: DataFrame, rules: list[tuple[str, str, str]], where: Column, marks: tuple[str, ...] = ()) -> DataFrame:
+    """Rules in order over ``_t``; ``_ids`` gets those that changed something.
+
+    With ``marks``, texts that contain none of them in lower case are left alone.
+    """
     steps = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(p).alias("p"), F.lit(n).alias("n")) for r, p, n in rules))
 
     def step(acc: Column, rule: Column) -> Column:
@@ -27,9 +37,13 @@ def _apply(df: DataFrame, rules: list[tuple[str, str, str]], where: Column) -> D
         return F.struct(new.alias("t"), ids.alias("ids"))
 
     start = F.struct(F.col("_t").alias("t"), F.col("_ids").alias("ids"))
-    some = F.col("_t").rlike("|".join(p for _, p, _ in rules))  # most texts need none of the rules
+    # Most texts need none of the rules.
+    some = F.col("_t").rlike("|".join(p for _, p, _ in rules))
+    if marks:
+        df = df.withColumn("_low", F.lower("_t"))
+        some = reduce(or_, (F.col("_low").contains(m) for m in marks))
     df = df.withColumn("_x", F.when(where & some, F.aggregate(steps, start, step)).otherwise(start))
-    return df.withColumn("_t", F.col("_x.t")).withColumn("_ids", F.col("_x.ids")).drop("_x")
+    return df.withColumn("_t", F.col("_x.t")).withColumn("_ids", F.col("_x.ids")).drop("_x", "_low")
 
 
 def revise(sentences: DataFrame, mode: str = "conservative", text: str = "text", stock: str = "stock", drop: str | None = None) -> DataFrame:
@@ -50,7 +64,7 @@ def revise(sentences: DataFrame, mode: str = "conservative", text: str = "text",
             df = _apply(df, [("remove-repeated-additive-transition", P.java(P.ADDITIVE), "")], F.col("_free") & F.col(drop))
     df = _apply(df, OPENINGS, F.col("_free") & F.col(stock))
     if whole:
-        df = _apply(df, WORDINGS, F.col("_free"))
+        df = _apply(df, WORDINGS, F.col("_free"), WORDING_MARKS)
     new = F.col("_t")
     new = F.when((new != t) & new.rlike(r"^\p{Ll}"), F.concat(F.upper(F.substring(new, 1, 1)), F.expr("substring(_t, 2)"))).otherwise(new)
     df = df.withColumn("_new", new)
