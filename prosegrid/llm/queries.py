@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosegrid.llm import langid, media, mixing, packing, sharding, simhash, suffix, topk, urls, warc
-from prosegrid.session import ship
+from prosegrid.session import ship, spread
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work that takes long for each of them."""
+    return spread(_read(spark, sf_dir, "documents"))
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicate_classes(_read(spark, sf_dir, "documents"))
+    found = simhash.near_duplicate_classes(_texts(spark, sf_dir))
     return found.select(
         F.col("id").alias("doc_id"), simhash.hex16(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id")
     )
@@ -35,13 +40,13 @@ def _fold(docs: DataFrame):
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     model = langid.fit(training_rows(docs))
     return langid.identify(docs, model, keep={"doc_id": docs["doc_id"], "held_out": _fold(docs) == 2})
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix.repeated_spans(_read(spark, sf_dir, "documents"))
+    found = suffix.repeated_spans(_texts(spark, sf_dir))
     return found.select(
         F.col("doc").alias("doc_id"),
         F.col("start").alias("start_word"),
@@ -59,7 +64,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media.read_media(media.with_media(_read(spark, sf_dir, "documents")))
+    found = media.read_media(media.with_media(_texts(spark, sf_dir)))
     return found.select(
         F.col("id").alias("doc_id"),
         "n_bytes",
@@ -80,7 +85,7 @@ def tokenizer_path() -> str:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
+    found = packing.pack(_texts(spark, sf_dir), tokenizer_path())
     return found.select(
         F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
