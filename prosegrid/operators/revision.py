@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,10 +37,10 @@ def _apply(df: DataFrame, rules: list[tuple[str, str, str]], where: Column, mark
     # Most texts need none of the rules.
     some = F.col("_t").rlike("|".join(p for _, p, _ in rules))
     if marks:
-        df = df.withColumn("_low", F.lower("_t"))
-        some = reduce(or_, (F.col("_low").contains(m) for m in marks))
+        listed = F.array(*map(F.lit, marks))
+        some = F.exists(F.array(F.lower("_t")), lambda low: F.exists(listed, lambda m: low.contains(m)))
     df = df.withColumn("_x", F.when(where & some, F.aggregate(steps, start, step)).otherwise(start))
-    return df.withColumn("_t", F.col("_x.t")).withColumn("_ids", F.col("_x.ids")).drop("_x", "_low")
+    return df.withColumn("_t", F.col("_x.t")).withColumn("_ids", F.col("_x.ids")).drop("_x")
 
 
 def revise(sentences: DataFrame, mode: str = "conservative", text: str = "text", stock: str = "stock", drop: str | None = None) -> DataFrame:
@@ -68,7 +65,7 @@ def revise(sentences: DataFrame, mode: str = "conservative", text: str = "text",
     new = F.col("_t")
     new = F.when((new != t) & new.rlike(r"^\p{Ll}"), F.concat(F.upper(F.substring(new, 1, 1)), F.expr("substring(_t, 2)"))).otherwise(new)
     df = df.withColumn("_new", new)
-    same = fragments(F.col("_new")) == fragments(t)
+    same = (F.col("_new") == t) | (fragments(F.col("_new")) == fragments(t))
     return df.select(
         *keep,
         F.when(same, F.col("_new")).otherwise(t).alias("revised"),
