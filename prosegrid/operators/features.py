@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosegrid.functions import constants as C
@@ -36,6 +36,28 @@ class Profile:
 PROFILE = Profile()
 
 
+def profile_rows(spark: SparkSession, profile: Profile = PROFILE) -> DataFrame:
+    """A model as a table, to be kept: ``(no, feature, mean, scale, coefficient, lexical, intercept, threshold, long_word_bound, lexical_bound)``."""
+    rows = [
+        (i, n, float(m), float(s), float(w), n in profile.lexical, profile.intercept, profile.threshold, profile.long_word_bound, profile.lexical_bound)
+        for i, (n, m, s, w) in enumerate(profile.features)
+    ]
+    kinds = "no int, feature string, mean double, scale double, coefficient double, lexical boolean, intercept double, threshold double, long_word_bound double, lexical_bound double"
+    return spark.createDataFrame(rows, kinds)
+
+
+def profile_of(rows: DataFrame) -> Profile:
+    """The model that such a table, one row for each feature, holds."""
+    found = rows.orderBy("no").collect()
+    if [r["feature"] for r in found] != NAMES:
+        raise ValueError("a profile has the features of the model, in order")
+    r = found[0]
+    return Profile(
+        tuple((x["feature"], x["mean"], x["scale"], x["coefficient"]) for x in found),
+        r["intercept"], r["threshold"], r["long_word_bound"], r["lexical_bound"], tuple(x["feature"] for x in found if x["lexical"]),
+    )
+
+
 def _bare(word: Column) -> Column:
     return F.length(F.regexp_replace(word, "['’]", ""))
 

@@ -74,16 +74,20 @@ def revise(sentences: DataFrame, mode: str = "conservative", text: str = "text",
 
 
 def protected_diff(pairs: DataFrame, keys: list[str], before: str = "before", after: str = "after") -> DataFrame:
-    """``keys, kind, value, change, n``: protected values that one side has ``n`` more of; case does not count."""
+    """``keys, kind, value, change, n``: protected values that one side has ``n`` more of.
+
+    Neither case nor Unicode's compatibility forms (NFKC) tell values apart.
+    """
     def side(c: Column, sign: int) -> Column:
         def of(kind: str, pattern: str, fold: bool) -> Column:
             values = T.find_all(F.coalesce(c, F.lit("")), P.java(pattern, fold))
-            return F.transform(values, lambda x: F.struct(F.lit(kind).alias("kind"), F.lower(x).alias("value"), F.lit(sign).alias("n")))
+            return F.transform(values, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value"), F.lit(sign).alias("n")))
 
         return F.concat(*(of(*kind) for kind in KINDS))
 
     each = pairs.select(*keys, F.explode(F.concat(side(F.col(before), 1), side(F.col(after), -1))).alias("x"))
-    summed = each.groupBy(*keys, "x.kind", "x.value").agg(F.sum("x.n").alias("d")).where("d <> 0")
+    each = each.select(*keys, "x.kind", F.lower(T.nfkc(F.col("x.value"))).alias("value"), "x.n")
+    summed = each.groupBy(*keys, "kind", "value").agg(F.sum("n").alias("d")).where("d <> 0")
     return summed.select(*keys, "kind", "value", F.when(F.col("d") > 0, "removed").otherwise("added").alias("change"), F.abs("d").alias("n"))
 
 

@@ -399,4 +399,9 @@ ORACLES |= {
     "revision_requests": f"""SELECT conv_id, turn, CAST(CASE WHEN turn % 7 = 5 THEN 200 WHEN turn % 7 = 3 THEN 405 WHEN conv_id % 11 = 0 THEN 403
         WHEN coalesce(length(text) * 40, 0) > 12000 THEN 413
         WHEN text IS NULL OR length({TRIM.format('text')}) < 20 OR length(text) > 8000 OR role <> 'user' THEN 400 ELSE 200 END AS BIGINT) AS status FROM conversations""",
+    "clean_paragraphs": f"""WITH p AS (
+        SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '\\r?\\n\\s*\\r?\\n+'),
+          lambda x: {TRIM.format("regexp_replace(x, '\\s*\\r?\\n\\s*', ' ', 'g')")}), lambda x: x <> '') AS l FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(l) = 0 THEN ['No readable text.'] ELSE l END AS l FROM p)
+      SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS paragraph, unnest(l) AS text FROM s""",
 }

@@ -243,6 +243,11 @@ def page_lookup(spark, sf_dir):
     return found.select(F.col("book").alias("conv_id"), F.col("start").alias("place"), F.col("page").alias("turn"))
 
 
+def clean_paragraphs(spark, sf_dir):
+    found = documents.clean_paragraphs(_docs(spark, sf_dir))
+    return found.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "text")
+
+
 def revision_requests(spark, sf_dir):
     asked = _docs(spark, sf_dir, "conversations").select(
         "conv_id", "turn", F.when(F.col("turn") % 7 == 3, "PUT").when(F.col("turn") % 7 == 5, "GET").otherwise("POST").alias("method"),
@@ -343,6 +348,7 @@ QUERIES = {
         standardized_features,
         page_lookup,
         revision_requests,
+        clean_paragraphs,
     )
 }
 FLAGSHIP = "coverage_status"

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from prosegrid.functions import tokens as T
 from prosegrid.sources.files import MOST_CHARACTERS, MOST_PAGES
@@ -29,17 +25,6 @@ def lines_of_pages(docs: DataFrame, book: str, page: str, text: str, height: flo
 NUMBER = r"(?i)^\s*(?:page\s+)?(?:\d{1,4}|[ivxlcdm]+)(?:\s*(?:of|/|-|–)\s*(?:\d{1,4}|[ivxlcdm]+))?\s*$"
 
 
-def _compatible(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
-
-
-def nfkc(text: Column) -> Column:
-    """Unicode's compatibility form NFKC of a column; texts of ASCII alone are in that form."""
-    compatible = F.pandas_udf(_compatible, StringType())
-    plain = text.isNull() | ~text.rlike(r"[^\x00-\x7F]")
-    return F.when(plain, text).otherwise(compatible(F.when(~plain, text)))
-
-
 def with_artifact_key(lines: DataFrame) -> DataFrame:
     """Adds ``band`` (top, bottom or null), ``is_number`` and ``key``.
 
@@ -47,7 +32,7 @@ def with_artifact_key(lines: DataFrame) -> DataFrame:
     not end like a sentence, else null.  Lines without a place are in no band.
     """
     band = F.when(F.col("height") > 0, F.when(F.col("y") >= (1 - BAND) * F.col("height"), "top").when(F.col("y") <= BAND * F.col("height"), "bottom"))
-    plain = T.trimmed(F.regexp_replace(F.lower(nfkc(F.col("line"))), r"\s+", " "))
+    plain = T.trimmed(F.regexp_replace(F.lower(T.nfkc(F.col("line"))), r"\s+", " "))
     lines = lines.withColumn("band", band).withColumn("_plain", F.when(F.col("band").isNotNull(), plain))
     number = T.count(F.col("_plain"), r"[\p{L}\p{N}]+")
     good = (number > 0) & (number <= MOST_WORDS) & ~F.col("_plain").rlike(r"""[.!?]["'”’)}\]]*\z""")

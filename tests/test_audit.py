@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from prosegrid.functions import texts as X
-from prosegrid.operators import calibration, coverage, features, report, revision, signals
+from prosegrid.operators import calibration, coverage, documents, features, report, revision, signals
 from prosegrid.operators import window_features as W
 from prosegrid.sources import files, pages
 from prosegrid.streaming import requests
@@ -226,3 +226,26 @@ def test_undo_and_minor_edits(spark):
     assert {r["doc_id"]: r["minor"] for r in revision.minor_edits(edits, changed).collect()} == {1: True, 2: False, 3: False}
     over = spark.createDataFrame([(1, 0, 3, "one", "1"), (1, 2, 5, "e t", "X"), (1, 4, 7, "two", "2")], "doc_id long, start int, end int, before string, after string")
     assert revision.compose(spark.createDataFrame([(1, "one two")], "doc_id long, text string"), over).first()["text"] in ("1 2", "1 two")
+
+
+def test_word_files_and_paragraphs(spark):
+    rows = [(1, "One & <two>\nstill one\n\nThree\x07"), (2, " \n "), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["paragraph"], r["text"]) for r in documents.clean_paragraphs(df).collect())
+    assert got == [(1, 0, "One & <two> still one"), (1, 1, "Three"), (2, 0, "No readable text."), (3, 0, "No readable text.")]
+    assert documents.clean_paragraphs(df, every_line=True).where("doc_id = 1").count() == 3
+    made = {r["doc_id"]: bytes(r["content"]) for r in documents.word_files(documents.clean_paragraphs(df)).collect()}
+    assert files.docx_text(made[1]) == "One & <two> still one\n\nThree\n\n" and made[2] == made[3]
+
+
+def test_a_profile_is_an_argument(spark):
+    table = features.profile_rows(spark)
+    assert features.profile_of(table) == features.PROFILE
+    strict = features.Profile(threshold=0.9999999)
+    df = spark.createDataFrame([(1, " ".join([FORMULAIC] * 9))], "doc_id long, text string")
+    assert coverage.coverage(df, profile=strict).first()["detected_words"] < coverage.coverage(df).first()["detected_words"]
+
+
+def test_compatible_forms_are_one_protected_value(spark):
+    pairs = spark.createDataFrame([(1, "It says “ﬁve things”, Ann Lee.", "It says “FIVE things”, ANN LEE.")], "k long, before string, after string")
+    assert [(r["kind"], r["value"]) for r in revision.protected_diff(pairs, ["k"]).collect()] == []

@@ -69,10 +69,9 @@ def test_train(spark):
 
 
 def test_prose_statistics(spark):
-    text = "One two two. HEAD. Four five six Two seven."
-    docs = spark.createDataFrame([(1, text), (2, "")], "doc_id int, text string")
-    rows = [(1, [(0, 12, 3, None), (13, 18, 1, "non-prose"), (19, 43, 5, None)]), (2, [])]
-    segments = spark.createDataFrame(rows, "doc_id int, sentences array<struct<start:int,end:int,words:int,reason:string>>")
-    scored = spark.createDataFrame([(1, 3, True), (1, 5, False)], "doc_id int, words int, detected boolean")
-    got = [tuple(r) for r in documents.prose_statistics(docs, segments, scored).orderBy("doc_id").collect()]
+    sentences = [("One two two.", 3, 0, True), ("HEAD.", 1, None, False), ("Four five six Two seven.", 5, 1, False)]
+    rows = [(1, sentences, 1, 3), (2, [], 0, 0)]
+    kind = "doc_id int, sentences array<struct<text:string,words:int,q:int,detected:boolean>>, detected_sentences long, detected_words long"
+    audited = spark.createDataFrame(rows, kind)
+    got = [tuple(r) for r in documents.prose_statistics(audited).orderBy("doc_id").collect()]
     assert got == [(1, 3, 2, 8, 4.0, 25, 75, 1, 3), (2, 0, 0, 0, 0.0, 0, 0, 0, 0)]
