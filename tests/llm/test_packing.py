@@ -60,7 +60,7 @@ def test_long_texts_and_a_loss_limit_that_binds(spark):
         tokens[r["sequence_id"]] += r["length"]
         loss[r["sequence_id"]] += r["loss_tokens"]
         pieces[r["sequence_id"]] += 1
-    assert max(loss.values()) == 300 and max(tokens.values()) <= 1024 and max(pieces.values()) <= 12
+    assert 200 < max(loss.values()) <= 300 and max(tokens.values()) < 1024 and max(pieces.values()) <= 12
     assert all(n & (n - 1) == 0 for n in tokens.values())
     t = reference()
     assert sum(tokens.values()) == sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x, _, _ in rows)
