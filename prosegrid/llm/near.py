@@ -158,7 +158,7 @@ def _prefixes(common, part: int):
                 parts = np.ones(len(h), np.int64)
                 if len(often):
                     place = np.minimum(np.searchsorted(often, h), len(often) - 1)
-                    parts = np.where(often[place] == h, np.minimum(-(-number[place] * SAMPLE // part), 1 << 15), 1)
+                    parts = np.where(often[place] == h, np.minimum(-(-number[place] * SAMPLE // part), (1 << 15) - 1), 1)
                 at = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
                 dealt = (mix(c.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
                 columns = [h.view(np.int64), (parts << 16 | dealt).astype(np.int32), c, root, n, at.astype(np.int32)]

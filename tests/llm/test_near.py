@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 
 from prosegrid.llm import near as N
 
@@ -125,24 +124,23 @@ def linked(texts, least=0.8):
     return {i: find(i) for i in range(len(texts)) if find(i) != i}
 
 
-@pytest.mark.parametrize("size,changed", [(10, 6), (100, 6), (300, 6), (300, 5), (300, 2)])
-def test_large_families_lose_no_link(spark, size, changed):
-    rng = np.random.default_rng(size + changed)
-    words = np.array([f"v{i}" for i in range(5000)])
-    base = rng.choice(words, 300)
-    texts = [" ".join(base)]
-    for _ in range(size):
-        other = base.copy()
-        other[rng.choice(300, changed, replace=False)] = rng.choice(words, changed)
-        texts.append(" ".join(other))
-    order = rng.permutation(len(texts))
+def test_large_families_lose_no_link(spark):
+    texts = []
+    for family, (size, changed) in enumerate([(10, 6), (100, 6), (300, 6), (300, 5), (300, 2), (400, 6)]):
+        rng = np.random.default_rng(family)
+        words = np.array([f"v{family}x{i}" for i in range(5000)])
+        base = rng.choice(words, 300)
+        texts.append(" ".join(base))
+        for _ in range(size):
+            other = base.copy()
+            other[rng.choice(300, changed, replace=False)] = rng.choice(words, changed)
+            texts.append(" ".join(other))
+    order = np.random.default_rng(9).permutation(len(texts))
     texts = [texts[i] for i in order]
     want = linked(texts)
-    assert len(want) >= 0.9 * size
+    assert len(want) >= 0.9 * len(texts)
     assert found(spark, texts) == want
-    if size == 100:
-        assert found(spark, texts, small_size=2) == want
-        assert found(spark, texts, small_size=1000) == want
+    assert found(spark, texts, small_size=2) == want
 
 
 def test_parts_of_common_shingles(spark, monkeypatch):
@@ -152,7 +150,7 @@ def test_parts_of_common_shingles(spark, monkeypatch):
     texts = [" ".join([*line[: int(rng.integers(30, 40))], *(f"t{d}x{i}" for i in range(int(rng.integers(0, 12))))]) for d in range(150)]
     want = linked(texts)
     assert len(want) > 50
-    for part in (1 << 14, 20, 3):
+    for part in (1 << 14, 3):
         assert found(spark, texts, part=part) == want
     monkeypatch.setattr(N, "PART", 2)
     assert found(spark, texts) == want
