@@ -20,15 +20,28 @@ _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def lean(run: Callable) -> Callable:
+#: What workers keep from task to task, by name.
+KEPT: dict[str, dict] = {}
+
+
+def forget(keeps: str | None) -> None:
+    """Empty what this worker has kept for tasks of other kinds."""
+    for name, cache in KEPT.items():
+        if name != keeps:
+            cache.clear()
+
+
+def lean(run: Callable, keeps: str | None = None) -> Callable:
     """A function over batches that hands the memory it freed back to the system when its task ends.
 
     Python workers are kept from task to task; without this each keeps the
-    largest size that any of its tasks had.
+    largest size that any of its tasks had.  What was ``KEPT`` under another
+    name than ``keeps`` goes before the task begins.
     """
 
     @wraps(run)
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

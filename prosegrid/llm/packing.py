@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegrid.llm.blocks import code_points, lean, mix, powers, text_blocks
+from prosegrid.llm.blocks import KEPT, code_points, lean, mix, powers, text_blocks
 
 CAPACITY = 1024
 SEGMENTS = 256
@@ -203,7 +204,7 @@ class Encoder:
         return sorted(odd)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = KEPT.setdefault("encoders", {})
 
 
 def encoder(path: str) -> Encoder:
@@ -373,7 +374,7 @@ def pack(
     """
     names = ["id", "start", "length", "ids", "doc_tokens", "loss_tokens", "sequence_id", "offset"]
 
-    @lean
+    @partial(lean, keeps="encoders")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer, number = encoder(tokenizer), Packer(capacity, segments, loss), TaskContext.get().partitionId() << 40
         rows: list[tuple] = []

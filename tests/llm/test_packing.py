@@ -119,3 +119,13 @@ def test_pack(spark):
     assert K.pack(df.limit(0), PATH).count() == 0
     first = got[0]
     assert zlib.crc32(bytes(first["ids"])) >= 0
+
+
+def test_workers_drop_encoders_for_other_work():
+    from prosegrid.llm import blocks
+
+    K.encoder(PATH)
+    assert K._ENCODERS and blocks.KEPT["encoders"] is K._ENCODERS
+    kept = K.encoder(PATH)
+    assert list(blocks.lean(iter, keeps="encoders")([])) == [] and K.encoder(PATH) is kept
+    assert list(blocks.lean(iter)([])) == [] and not K._ENCODERS
