@@ -27,3 +27,27 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+def test_stages_bear_nulls_repeats_long_texts_and_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [tuple(r) for r in docs.where("length(text) > 400").orderBy("doc_id").limit(60).collect()]
+    d, text, lang, source, n = rows[0]
+    long = " ".join(r[1] for r in rows) * 4
+    rows += [rows[1]] * 3 + [(None, *rows[2][1:])] * 2 + [(None, text + " and a few words more", lang, source, n)]
+    rows += [(9001, None, lang, source, None), (9002, "", None, None, 0), (9003, " \n ", lang, None, 3), (9004, long, None, source, len(long)), (9005, long, lang, None, None)]
+    rows += [(9006, rows[3][1], None, None, None), (rows[4][0], rows[5][1], lang, source, n), (9007, "单字。" * 200, None, source, 600)]
+    extra = "id long, t1 string, again boolean, digest string, cuts int, copies int, c0 string, kind string"
+    df = spark.createDataFrame([(*r, i, "x", None, "y", i, i, None, "z") for i, r in enumerate(rows)], f"{docs._jdf.schema().toDDL()}, {extra}")
+    scratch, now = Scratch(spark, "test"), df
+    for name, stage in corpus_pipeline.STAGES:
+        before, now = now, scratch.store(stage(spark, now, SF))
+        if name != "pack_sequences":
+            assert now.columns == df.columns
+        if name in ("language_id", "simhash_near_dedup"):
+            assert now.exceptAll(before).count() == 0
+        if name == "simhash_near_dedup":
+            # Every text once, but for the one with a few words more, which is a near copy.
+            assert now.count() == now.select("text").distinct().count() == before.select("text").distinct().count() - 1
+            assert now.where("text is null or trim(text) = ''").count() == 0
+    assert now.count() > 0 and now.agg({"length": "max"}).first()[0] <= 1024
